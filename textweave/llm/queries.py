@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textweave.llm.line_dedup import OP5_SQL, op5_line_dedup
+from textweave.llm.minhash_dedup import op1_minhash_dedup
 from textweave.llm.mixing import op4_mixing
 from textweave.llm.sharding import op6_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op4_mixing": op4_mixing,
     "op5_line_dedup": op5_line_dedup,
     "op6_sharding": op6_sharding,
