@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from textweave.llm.line_dedup import OP5_SQL, op5_line_dedup
 from textweave.llm.minhash_dedup import op1_minhash_dedup
 from textweave.llm.mixing import op4_mixing
+from textweave.llm.nearest import op10_nearest
+from textweave.llm.pii import op2_pii
+from textweave.llm.secrets import op9_secrets
 from textweave.llm.sharding import op6_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_pii": op2_pii,
     "op4_mixing": op4_mixing,
     "op5_line_dedup": op5_line_dedup,
     "op6_sharding": op6_sharding,
+    "op9_secrets": op9_secrets,
+    "op10_nearest": op10_nearest,
 }
 ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL}
