@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textweave.llm.common import materialise
-from textweave.llm.spans import SPAN, joined, matches, ordered, replaced
+from textweave.llm.spans import SPAN, joined, matches, ordered, replaced, valued
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive forms of the base patterns; a run is entered at its start or right after the last match.
@@ -75,6 +75,10 @@ def _beside(text: Column, span: Column, window: int, least: int) -> Column:
     return F.concat(placed(before, low, lambda w: (w["start"] > 0) | (low == 0)), placed(after, span["end"], lambda w: (w["end"] < window) | ~more))
 
 
+def _tagged(kind: str) -> Column:
+    return F.transform(F.col(kind), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+
+
 def find(
     docs: DataFrame, keep: list[str], window: int = 64, least: int = 4, support: int = 3, generalise: float = 0.5, remove: float = 0.9, text_col: str = "text"
 ) -> DataFrame:
@@ -89,7 +93,7 @@ def find(
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(*keep, text.alias("_text"))
     based = rows.select(*keep, "_text", *[c.alias(k) for k, c in base_spans(F.col("_text")).items()])
-    tagged = F.concat(*[F.transform(F.col(k), lambda s, k=k: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))) for k in KINDS])
+    tagged = F.concat(*[_tagged(k) for k in KINDS])
     plain = F.when(F.col("e.kind") == "email", F.lower("e.value")).when(F.col("e.kind") == "ip", F.col("e.value")).otherwise(_digits(F.col("e.value")))
     beside = F.transform(tagged, lambda e: F.struct(e.alias("e"), _beside(F.col("_text"), e, window, least).alias("terms")))
     any_ = F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0
@@ -123,7 +127,7 @@ def find(
 def sanitise(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with protected values replaced by "[KIND]", and revealing terms generalised or removed, in ``text_col``."""
     found = find(docs, docs.columns, text_col=text_col, **options)
-    masks = [F.transform(F.col(k), lambda s, k=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{k.upper()}]").alias("value"))) for k in KINDS]
+    masks = [valued(F.col(k), f"[{k.upper()}]") for k in KINDS]
     return found.withColumn(text_col, replaced(F.col(text_col), F.concat(*masks, F.col("term")))).select(*docs.columns)
 
 

@@ -36,12 +36,16 @@ def _entropy(value: Column) -> Column:
     return F.aggregate(F.array_distinct(F.filter(F.split(value, ""), lambda c: c != "")), F.lit(0.0), lambda h, c: h - share(c) * F.log2(share(c)))
 
 
+def _looks_random(value: Column, bits: float) -> Column:
+    return value.rlike("[A-Za-z]") & value.rlike("[0-9]") & (_entropy(value) >= bits)
+
+
 def scan(docs: DataFrame, keep: list[str], repository: Column, owner: Column, copied_owners: int = 3, live_bits: float = 2.5, text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of each row, with arrays ``assign``, ``access``, ``hex``, ``copied`` and ``live`` of (start, end, value).
 
     A candidate is ``copied`` if its value is held by at least ``copied_owners`` distinct owners, and
-    ``live`` if exactly one owner holds it, in however many repositories, and it has at least
-    ``live_bits`` bits of entropy a character; others are neither. Null text is empty text; a null owner
+    ``live`` if exactly one owner holds it, in however many repositories, and it has letters,
+    digits and at least ``live_bits`` bits of entropy a character; others are neither. Null text is empty text; a null owner
     or repository counts as one of its own. Repeated rows stay rows of their own.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -52,7 +56,7 @@ def scan(docs: DataFrame, keep: list[str], repository: Column, owner: Column, co
     each = each.withColumn("_h", F.sha2("value", 256))
     held = each.groupBy("_h", "_owner", "_repo").agg(F.first("value").alias("value")).groupBy("_h", "_owner").agg(F.first("value").alias("value"), F.count(F.lit(1)).alias("n"))
     held = held.groupBy("_h").agg(F.first("value").alias("value"), F.count(F.lit(1)).alias("owners"), F.sum("n").alias("repositories"))
-    judged = held.withColumn("verdict", F.when(F.col("owners") >= copied_owners, "copied").when((F.col("owners") == 1) & (_entropy(F.col("value")) >= live_bits), "live"))
+    judged = held.withColumn("verdict", F.when(F.col("owners") >= copied_owners, "copied").when((F.col("owners") == 1) & _looks_random(F.col("value"), live_bits), "live"))
     judged = judged.filter("verdict IS NOT NULL").select("_h", "verdict")
     spans = each.join(judged, "_h").groupBy("_row").agg(F.collect_set(F.struct("start", "end", "value", "verdict")).alias("_v"))
     told = found.join(spans, "_row", "left")

@@ -40,11 +40,16 @@ def matches(text: Column, pattern: str, screen: Column, value_group: int = 0) ->
 
 def ordered(kinds: Sequence[str], columns: Sequence[Column]) -> Column:
     """The spans of several kinds as one array of (start, rank, end, kind), by start and then by kind as listed."""
-    told = [
-        F.transform(spans, lambda s, k=kind, r=rank: F.struct(s["start"].alias("start"), F.lit(r).alias("rank"), s["end"].alias("end"), F.lit(k).alias("kind")))
-        for rank, (kind, spans) in enumerate(zip(kinds, columns, strict=True))
-    ]
-    return F.array_sort(F.concat(*told))
+
+    def named(rank: int, kind: str, spans: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+
+    return F.array_sort(F.concat(*[named(rank, kind, spans) for rank, (kind, spans) in enumerate(zip(kinds, columns, strict=True))]))
+
+
+def valued(spans: Column, value: str) -> Column:
+    """The spans with another value."""
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(value).alias("value")))
 
 
 def joined(spans: Column) -> Column:
