@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textweave.llm.decontaminate import op3_decontaminate
 from textweave.llm.line_dedup import OP5_SQL, op5_line_dedup
 from textweave.llm.minhash_dedup import op1_minhash_dedup
 from textweave.llm.mixing import op4_mixing
@@ -18,6 +19,7 @@ from textweave.llm.toxicity import op7_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_pii": op2_pii,
+    "op3_decontaminate": op3_decontaminate,
     "op4_mixing": op4_mixing,
     "op5_line_dedup": op5_line_dedup,
     "op6_sharding": op6_sharding,
