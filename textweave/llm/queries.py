@@ -14,6 +14,7 @@ from textweave.llm.nearest import op10_nearest
 from textweave.llm.pii import op2_pii
 from textweave.llm.secrets import op9_secrets
 from textweave.llm.sharding import op6_sharding
+from textweave.llm.token_counts import op8_token_counts
 from textweave.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_sharding": op6_sharding,
     "op7_toxicity": op7_toxicity,
+    "op8_token_counts": op8_token_counts,
     "op9_secrets": op9_secrets,
     "op10_nearest": op10_nearest,
 }
