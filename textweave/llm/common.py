@@ -19,21 +19,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the session's shared checkpoint folder.
+#: Rows of a list of ids or keys that are broadcast at most: 8 to 16 bytes each, some 16 MB.
+BROADCAST_ROWS = 1_000_000
 
-    The folder comes from ``spark.checkpoint.dir``; only a session without one (a local test) gets a
-    temporary folder, which must not happen on a cluster.
-    """
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only a local session without one (a test) gets a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return shared or tempfile.mkdtemp(prefix="textweave-")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the session's shared checkpoint folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="textweave-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def listed(ids: DataFrame) -> DataFrame:
+    """``ids``, materialised, for one side of a join: a list of checked length is broadcast, a longer one is shuffled."""
+    ids = materialise(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, LOWER)

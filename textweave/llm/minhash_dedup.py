@@ -8,8 +8,9 @@ probability 0.15, and 16 or more of 32 do with a probability of about 3e-6. Pair
 confirmed on the full sets.
 
 Groups of copies are never expanded into all pairs. Equal sets are one class from the start. Under a
-key, classes are first compared with the key's least class and then with its greatest, which joins
-most groups; afterwards only pairs in different components are compared, in blocks.
+key, classes are first compared with the key's least class, which joins most groups; afterwards only
+pairs in different components are compared, in blocks, and those that a sketch of their sets doesn't
+rule out are confirmed.
 """
 
 from __future__ import annotations
@@ -23,15 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textweave.llm.common import materialise, table
+from textweave.llm.common import listed, materialise, table
 from textweave.llm.components import components
 from textweave.llm.shingles import bin_codes, min_hashes, mixed, shingle_sets, text_groups
 
-POSITIONS, CHUNK, BINS = 32, 4, 512
+POSITIONS, CHUNK, BINS = 32, 4, 1024
 #: Rows of a key that are compared in one task.
-BLOCK = 256
-#: Classes named in a broadcast at most: 8 bytes each.
-BROADCAST_ROWS = 1_000_000
+BLOCK = 1024
 
 
 def _signatures(size: int):
@@ -48,19 +47,26 @@ def _signatures(size: int):
                         pa.array(prints[:, 0]),
                         pa.array(prints[:, 1]),
                         pa.array([c.tobytes() for c in codes], pa.binary()),
-                        pa.array([bin_codes(s, BINS).tobytes() for s in sets], pa.binary()),
                     ],
-                    ["id", "n", "f1", "f2", "signature", "bins"],
+                    ["id", "n", "f1", "f2", "signature"],
                 )
 
     return run
 
 
-def _full_sets(size: int):
+def _whole(one: np.ndarray) -> bytes:
+    return one.tobytes()
+
+
+def _binned(one: np.ndarray) -> bytes:
+    return bin_codes(one, BINS).tobytes()
+
+
+def _sets(size: int, form):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, bounds in text_groups(batch.column(1)):
-                sets = [s.tobytes() for s in shingle_sets(data, bounds, size)]
+                sets = [form(s) for s in shingle_sets(data, bounds, size)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.array(sets, pa.binary())], ["id", "set"])
 
     return run
@@ -100,21 +106,34 @@ def _linked(percent: int):
 
 
 def _plausible(percent: int):
-    """Pairs of a block that are in different components, agree in size, and whose bins differ no more than 6 sigma above what the similarity predicts."""
+    """Pairs of a block that are in different components, agree in size, and whose bins differ little enough.
+
+    The union's least hashes in its used bins are a sample without replacement from the union, so the
+    bins that differ follow a hypergeometric law; 5 sigma above its mean at the least similarity is let
+    pass (at that similarity one pair in a million doesn't). A first look takes an eighth of the bins.
+    """
     share = 1 - percent / 100
 
+    def most(union: np.ndarray, used: np.ndarray, sigmas: float) -> np.ndarray:
+        spread = used * share * (1 - share) * np.maximum(union - used, 0) / np.maximum(union - 1, 1)
+        return used * share + sigmas * np.sqrt(spread) + 1
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("id")
         ids, roots, n, home = (pdf[c].to_numpy() for c in ("id", "root", "n", "block"))
         codes = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(-1, BINS)
+        look = np.ascontiguousarray(codes[:, : BINS // 8])
         low, high = int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
+        there = home == high
         found = []
         for i in np.flatnonzero(home == low):
-            j = np.flatnonzero((home == high) & (roots != roots[i]) & ((ids > ids[i]) | (low != high)))
-            j = j[(100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
+            j = np.flatnonzero(there & (roots != roots[i]) & ((ids > ids[i]) | (low != high)) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            for table, sigmas in ((look, 6), (codes, 5)):
+                if len(j):
+                    union = np.ceil((n[j] + n[i]) / (1 + percent / 100)) * (table.shape[1] / BINS)
+                    used = np.count_nonzero(table[j] | table[i], axis=1)
+                    j = j[np.count_nonzero(table[j] != table[i], axis=1) <= most(union, used, sigmas)]
             if len(j):
-                used = ((codes[j] | codes[i]) != 0).sum(1)
-                differ = (codes[j] != codes[i]).sum(1)
-                j = j[differ <= used * share + 6 * np.sqrt(used * share * (1 - share)) + 1]
                 found.append(np.stack([np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])], 1))
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -145,9 +164,9 @@ class _Linker:
         w = Window.partitionBy("key")
         return self.rooted().withColumns({"_l": F.min("root").over(w), "_h": F.max("root").over(w)}).filter("_l < _h").drop("_l", "_h")
 
-    def star(self, pick) -> DataFrame:
-        """Each key's classes paired with the one that ``pick`` chooses."""
-        hub = pick(F.struct("id", "n", "root")).over(Window.partitionBy("key"))
+    def star(self) -> DataFrame:
+        """Each key's classes paired with the least of them."""
+        hub = F.min(F.struct("id", "n", "root")).over(Window.partitionBy("key"))
         fits = F.expr(f"100 * least(n, hub.n) >= {self.percent} * greatest(n, hub.n) AND root <> hub.root")
         return self.unsettled().withColumn("hub", hub).filter(fits).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
 
@@ -157,17 +176,20 @@ class _Linker:
         dealt = self.unsettled().withColumn("blocks", F.ceil(F.count(F.lit(1)).over(w) / BLOCK).cast("int"))
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("key", "id", "n", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        with_bins = dealt.join(self.classes.select("id", "bins"), "id")
+        dealt = materialise(dealt)
+        with_bins = dealt.join(self.formed(dealt.select("id").distinct(), _binned), "id").withColumnRenamed("set", "bins")
         return with_bins.groupBy("key", "low", "high").applyInPandas(_plausible(self.percent), "a long, b long").distinct()
 
+    def formed(self, ids: DataFrame, form) -> DataFrame:
+        """The sets of the named documents, made again from their texts. Names of checked number are broadcast; more are joined."""
+        return self.texts.join(listed(ids), "id", "left_semi").mapInArrow(_sets(self.size, form), "id long, set binary").dropDuplicates(["id"])
+
     def confirm(self, pairs: DataFrame) -> None:
         """Compare full sets and merge the components of pairs that are similar enough."""
         pairs = materialise(pairs)
         if not pairs.limit(1).count():
             return
-        ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        named = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-        sets = self.texts.join(named, "id", "left_semi").mapInArrow(_full_sets(self.size), "id long, set binary").dropDuplicates(["id"])
+        sets = self.formed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), _whole)
         x, y = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
         links = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked(self.percent), "a long, b long")
         if self.roots is not None:
@@ -195,15 +217,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     Other columns are not read.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = materialise(texts.mapInArrow(_signatures(size), "id long, n long, f1 long, f2 long, signature binary, bins binary"))
+    signed = materialise(texts.mapInArrow(_signatures(size), "id long, n long, f1 long, f2 long, signature binary"))
     full = signed.filter("n > 0 AND id IS NOT NULL")
     classes = full.groupBy("n", "f1", "f2").agg(F.min("id").alias("class"))
     classes = materialise(classes)
-    heads = materialise(full.join(classes.select("n", "f1", "f2", F.col("class").alias("id")), ["n", "f1", "f2", "id"], "left_semi").select("id", "n", "signature", "bins").dropDuplicates(["id"]))
+    heads = materialise(full.join(classes.select("n", "f1", "f2", F.col("class").alias("id")), ["n", "f1", "f2", "id"], "left_semi").select("id", "n", "signature").dropDuplicates(["id"]))
     linker = _Linker(texts, heads, size, percent)
-    linker.confirm(linker.star(F.min))
-    if linker.roots is not None:
-        linker.confirm(linker.star(F.max))
+    linker.confirm(linker.star())
     linker.confirm(linker.rest())
     member = signed.select("id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left")
     if linker.roots is not None:
@@ -214,5 +234,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     return member.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component left, the one with the least id. Rows with a null id stay; of rows that repeat an id one stays."""
+    lost = near_duplicates(docs, size, percent, id_col, text_col).filter(~F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
+    left = docs.join(listed(lost), id_col, "left_anti").select(*docs.columns)
+    repeated = materialise(docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(id_col))
+    if not repeated.limit(1).count():
+        return left
+    again = listed(repeated)
+    return left.join(again, id_col, "left_anti").unionByName(left.join(again, id_col, "left_semi").dropDuplicates([id_col])).select(*docs.columns)
+
+
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
