@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textweave.llm.common import materialise, table
+from textweave.llm.common import listed, materialise, table
 
 #: Masks of span 11 and 12 and weight 7.
 SEEDS = ("11011010011", "110010111001")
@@ -84,7 +84,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, seeds: Sequence[str] = SEEDS
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; rows with a null id stay."""
-    return docs.join(overlaps(docs, benchmark, id_col=id_col, **options).select(id_col).distinct(), id_col, "left_anti").select(*docs.columns)
+    held = overlaps(docs, benchmark, id_col=id_col, **options).select(id_col).distinct()
+    return docs.join(listed(held), id_col, "left_anti").select(*docs.columns)
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

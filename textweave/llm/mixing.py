@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textweave.llm.common import WORD, chunk_count, materialise, running_total
 
@@ -180,6 +181,34 @@ def mix(docs: DataFrame, block_words: int = 128, rows_per_chunk: int = 50_000, s
     return sized.select(*columns, "taken").unionByName(empty)
 
 
+def mix_texts(docs: DataFrame, block_words: int = 128, rows_per_chunk: int = 50_000, seed: int = 7, **options) -> DataFrame:
+    """The mix itself: one row with the columns of ``docs`` for each document and pass over its source that takes words of it.
+
+    ``text`` holds the words taken in that pass: the text as it is if they are all, else the taken words
+    with single spaces between them; ``n_chars`` is its length. Documents of which nothing is taken are
+    not in the mix. Repeated rows are rows of their own.
+    """
+    names = [c for c in docs.columns if c not in ("text", "n_chars")]
+    keyed = docs.withColumn("_key", F.xxhash64(*[F.to_json(F.struct(F.col(c))) for c in names], F.col("text")))
+    sizes = materialise(keyed.select("doc_id", "source", "_key", word_count(F.col("text")).alias("size")))
+    again = bool(sizes.groupBy("_key").count().filter("count > 1").limit(1).count())
+    number = F.row_number().over(Window.partitionBy("_key").orderBy("_key")) if again else F.lit(1)
+    sizes, keyed = sizes.withColumn("_nth", number), keyed.withColumn("_nth", number)
+    plans = plan_sources(source_words(sizes), block_words, **options)
+    placed = materialise(_placed(sizes, plans, rows_per_chunk))
+    uses = block_uses(placed, draw_slots(docs.sparkSession, plans, seed=seed))
+    taken = uses.select("number", "first", "from_word", "words", F.explode("passes").alias("pass_")).groupBy("number", "first", "pass_")
+    taken = taken.agg(F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("_pieces"), F.sum("words").alias("_taken"))
+    rows = placed.filter("size > 0").join(taken, ["number", "first"]).select("_key", "_nth", "size", "_pieces", "_taken")
+    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
+    cut = F.flatten(F.transform("_pieces", lambda p: F.slice(F.col("_words"), (p["from_word"] + 1).cast("int"), p["words"].cast("int"))))
+    out = keyed.join(rows, ["_key", "_nth"]).withColumn("_words", F.when(F.col("_taken") < F.col("size"), words))
+    out = out.withColumn("text", F.when(F.col("_taken") < F.col("size"), F.array_join(cut, " ")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*docs.columns)
+
+
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     return mix(materialise(docs)).select("doc_id", "size", "source_size", "target", "taken")

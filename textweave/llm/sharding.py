@@ -28,6 +28,11 @@ def rendezvous(key: Column, weights: Sequence[float], seed: int = 20) -> Column:
     return F.greatest(*scores)["shard"] if len(scores) > 1 else F.lit(0)
 
 
+def assign(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, key_col: str = "doc_id", seed: int = 20) -> DataFrame:
+    """Add ``shard`` alone: rows stay where they are, nothing is shuffled."""
+    return docs.withColumn("shard", rendezvous(F.col(key_col), weights, seed))
+
+
 def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, key_col: str = "doc_id", seed: int = 20, rows_per_chunk: int = 50_000) -> DataFrame:
     """Add ``shard`` int, and ``slot`` long, the row's gapless place in its shard.
 
@@ -35,14 +40,14 @@ def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, key_col: str =
     side, in no fixed order among equal rows. Nulls in other columns don't matter. Numbering deals each
     shard over chunks of about ``rows_per_chunk`` rows, so no task holds a whole shard.
     """
-    dealt = docs.withColumn("shard", rendezvous(F.col(key_col), weights, seed))
+    dealt = assign(docs, weights, key_col, seed)
     chunks = chunk_count(docs.count(), rows_per_chunk * len(weights))
     return running_total(dealt, ["shard"], F.col(key_col), [F.col(key_col)], F.lit(1), chunks, "slot")
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """One folder ``shard=N`` a shard, written in parallel."""
-    shard(docs, **options).drop("slot").write.partitionBy("shard").parquet(path)
+    """One folder ``shard=N`` a shard, written in parallel by every task."""
+    assign(docs, **options).write.partitionBy("shard").parquet(path)
 
 
 def op6_sharding(spark, sf_dir: str) -> DataFrame:
