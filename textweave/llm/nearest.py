@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textweave.llm.common import chunk_count, materialise, table
+from textweave.llm.common import materialise, table
 
 
 def probes(down: np.ndarray, width: float, count: int) -> list[tuple[tuple[int, int], ...]]:
@@ -105,8 +105,8 @@ def nearest(
     """(query_id, rank, id, score) of the ``k`` nearest found for each row for which ``is_query`` holds, among all other rows.
 
     Equal vectors are hashed and searched once, whatever their number: of a group of copies only the k + 1
-    least ids can be in any result, and these are kept. Buckets are dealt over blocks of about
-    ``block_rows`` vectors. A query for which the visited buckets hold fewer than k + 1 rows visits every
+    least ids can be in any result, and these are kept. A bucket of more than ``block_rows``
+    vectors is dealt over blocks of about that size. A query for which the visited buckets hold fewer than k + 1 rows visits every
     bucket of the first table, hence finds k whenever there are k. Vectors that are null, zero, or hold
     null or non-finite components take no part; those of another length are not compared. Ties go to
     the smaller id. A repeated id is a row of its own.
@@ -120,16 +120,17 @@ def nearest(
     classes = materialise(members.groupBy("class").agg(F.first("vector").alias("vector"), F.sort_array(F.collect_list("id")).alias("ids")))
     asking = materialise(sound.filter("asks").select("id", "class"))
     queries = classes.join(asking.select("class").distinct(), "class", "left_semi").select("class", "vector")
-    blocks = chunk_count(classes.count(), block_rows)
     shape = "class string, vector array<double>, of int, bucket string"
     base = classes.select("class", "vector").mapInPandas(_hashed(tables, functions, width, 1), shape)
-    base = base.withColumn("block", F.pmod(F.xxhash64("class"), F.lit(blocks)).cast("int"))
+    base = materialise(base)
+    there = base.groupBy("of", "bucket").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    there = materialise(there)
+    base = base.join(there, ["of", "bucket"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).drop("blocks")
     visiting = queries.mapInPandas(_hashed(tables, functions, width, visits), shape)
 
     def search(visiting: DataFrame) -> DataFrame:
         """Only (bucket, block) pairs that exist are visited."""
-        there = base.select(*(F.col(c).alias(c) for c in ("of", "bucket", "block"))).distinct()  # aliases: columns apart from base's own
-        placed = visiting.join(there, ["of", "bucket"])
+        placed = visiting.join(there, ["of", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
         found = placed.groupBy("of", "bucket", "block").cogroup(base.groupBy("of", "bucket", "block")).applyInPandas(_nearest(k + 1), "query string, class string, score double")
         found = found.distinct().withColumn("_r", F.rank().over(Window.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("_r") <= k + 1)
         return materialise(found.drop("_r").join(classes.select("class", "ids"), "class"))
