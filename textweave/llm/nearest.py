@@ -139,7 +139,7 @@ def nearest(
     enough = found.groupBy("query").agg(F.sum(F.size("ids")).alias("n")).filter(F.col("n") > k).select(F.col("query").alias("class"))
     short = materialise(queries.join(enough, "class", "left_anti"))
     if short.limit(1).count() and classes.limit(2).count():
-        everywhere = base.filter("of = 0").select("of", "bucket", F.expr("split(bucket, ':')[0]").alias("dim")).distinct()
+        everywhere = there.filter("of = 0").select(F.col("of").alias("of"), F.col("bucket").alias("bucket"), F.expr("split(bucket, ':')[0]").alias("dim"))
         all_of = short.withColumn("dim", F.size("vector").cast("string")).join(everywhere, "dim").select("class", "vector", "of", "bucket")
         rest = search(all_of)
         found = found.join(short.select(F.col("class").alias("query")), "query", "left_anti").unionByName(rest)
