@@ -47,6 +47,11 @@ def candidate_hits(matched: DataFrame, shingles: DataFrame) -> DataFrame:
     return matched.join(shingles.select("qid", "h").distinct(), "h").groupBy("qid", "segment", "did").agg(F.count(F.lit(1)).alias("hits"))
 
 
+def hits_of_points(points: DataFrame) -> DataFrame:
+    """The same count from match points: a document position has one hash, so its distinct positions are its postings."""
+    return points.groupBy("qid", "segment", "did").agg(F.countDistinct("dpos").alias("hits"))
+
+
 def candidates(hits: DataFrame, options: SearchOptions) -> DataFrame:
     best = Window.partitionBy("qid", "segment").orderBy(F.desc("hits"), "did")
     return hits.filter(F.col("hits") >= options.min_hits).withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= options.candidates_topn).drop("_r")
@@ -108,10 +113,12 @@ def top_hits(scored: DataFrame, options: SearchOptions, segment_order: DataFrame
 
 
 def search(postings: DataFrame, docs: DataFrame, queries: DataFrame, options: SearchOptions = SearchOptions(), normalized: bool = False, segment_order=None, tombstones=None) -> DataFrame:
-    shingles = query_shingles(queries, normalized)
+    """All steps as one plan. Shingles and points are each shuffled once, by an explicit key, and that shuffle is used again by what follows."""
+    shingles = query_shingles(queries, normalized).repartition("h")
     matched = matched_postings(postings, shingles, options.max_postings_per_hash)
-    chosen = candidates(candidate_hits(matched, shingles), options)
-    kept = top_spans(spans(match_points(matched, shingles, chosen), options), options)
+    points = matched.join(shingles, "h").select("qid", "segment", "did", "qpos", F.col("pos").alias("dpos")).repartition("qid", "segment", "did")
+    chosen = candidates(hits_of_points(points), options)
+    kept = top_spans(spans(points.join(chosen.select("qid", "segment", "did"), ["qid", "segment", "did"], "left_semi"), options), options)
     return top_hits(scores(kept, shingles, docs, options), options, segment_order, tombstones)
 
 
