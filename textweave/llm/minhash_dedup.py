@@ -58,8 +58,8 @@ def _whole(one: np.ndarray) -> bytes:
     return one.tobytes()
 
 
-def _binned(one: np.ndarray) -> bytes:
-    return bin_codes(one, BINS).tobytes()
+def _sketched(one: np.ndarray) -> bytes:
+    return bin_codes(one, BINS).tobytes() + min_hashes([one], POSITIONS).tobytes()
 
 
 def _sets(size: int, form):
@@ -110,7 +110,8 @@ def _plausible(percent: int):
 
     The union's least hashes in its used bins are a sample without replacement from the union, so the
     bins that differ follow a hypergeometric law; 5 sigma above its mean at the least similarity is let
-    pass (at that similarity one pair in a million doesn't). A first look takes an eighth of the bins.
+    pass (at that similarity one pair in a million doesn't). A first look takes an eighth of the bins. A pair
+    that meets under several keys is told under the first of them only.
     """
     share = 1 - percent / 100
 
@@ -121,7 +122,10 @@ def _plausible(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("id")
         ids, roots, n, home = (pdf[c].to_numpy() for c in ("id", "root", "n", "block"))
-        codes = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(-1, BINS)
+        sketches = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(-1, BINS + 2 * POSITIONS)
+        codes = np.ascontiguousarray(sketches[:, :BINS])
+        signs = np.ascontiguousarray(sketches[:, BINS:]).view(np.uint16)
+        number = int(pdf["key"].iloc[0]) >> 16 * (CHUNK - 1)
         look = np.ascontiguousarray(codes[:, : BINS // 8])
         low, high = int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
         there = home == high
@@ -134,6 +138,9 @@ def _plausible(percent: int):
                     used = np.count_nonzero(table[j] | table[i], axis=1)
                     j = j[np.count_nonzero(table[j] != table[i], axis=1) <= most(union, used, sigmas)]
             if len(j):
+                same = (signs[j] == signs[i]).reshape(len(j), -1, CHUNK)
+                shared = same.sum(2, keepdims=True) - same == CHUNK - 1
+                j = j[shared.reshape(len(j), -1).argmax(1) == number]
                 found.append(np.stack([np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])], 1))
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -177,7 +184,7 @@ class _Linker:
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("key", "id", "n", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
         dealt = materialise(dealt)
-        with_bins = dealt.join(self.formed(dealt.select("id").distinct(), _binned), "id").withColumnRenamed("set", "bins")
+        with_bins = dealt.join(self.formed(dealt.select("id").distinct(), _sketched), "id").withColumnRenamed("set", "bins")
         return with_bins.groupBy("key", "low", "high").applyInPandas(_plausible(self.percent), "a long, b long").distinct()
 
     def formed(self, ids: DataFrame, form) -> DataFrame:
