@@ -22,7 +22,6 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 TERM = r"\p{L}++"
-BROADCAST_ROWS = 1_000_000
 
 
 def _digits(value: Column) -> Column:
@@ -106,13 +105,10 @@ def find(
     told = near.select("_row", "_print", "entity", F.explode("terms").alias("t")).select("_row", "_print", "entity", "t.*")
     pairs = told.groupBy("entity", "value").agg(F.countDistinct("_row").alias("n_te"), F.countDistinct("_print").alias("texts")).filter(F.col("texts") >= support)
     pairs = materialise(pairs.drop("texts").join(by_entity, "entity").withColumn("h", F.xxhash64("value")))
-    wanted = materialise(pairs.select("h").distinct())
 
     words = F.transform(F.regexp_extract_all(F.lower(F.col("_text")), F.lit(rf"\p{{L}}{{{least},}}"), F.lit(0)), lambda w: F.xxhash64(w))
     said = rows.select(F.explode(F.array_distinct(words)).alias("h"))
-    # a list of hashes of checked size is broadcast; a longer one meets the words after they are counted
-    few = wanted.count() <= BROADCAST_ROWS
-    counted = (said.join(F.broadcast(wanted), "h", "left_semi") if few else said).groupBy("h").agg(F.count(F.lit(1)).alias("n_t"))
+    counted = said.groupBy("h").agg(F.count(F.lit(1)).alias("n_t"))  # before the join: one row a word and task
     total = docs.count()
     shares = pairs.join(counted, "h").withColumn("ic", F.log2(F.lit(float(max(total, 1))) / F.col("n_e")))
     shares = shares.withColumn("pmi", F.col("ic") + F.log2(F.least(F.lit(1.0), F.col("n_te") / F.col("n_t"))))
