@@ -161,7 +161,8 @@ def block_uses(placed: DataFrame, slots: DataFrame) -> DataFrame:
     start = F.greatest(F.col("first"), F.col("block") * F.col("block_words"))
     stop = F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * F.col("block_words"))
     pieces = pieces.select("number", "block", "first", (start - F.col("first")).alias("from_word"), (stop - start).alias("words"))
-    return pieces.join(slots.groupBy("number", "block").agg(F.sort_array(F.collect_list("pass_")).alias("passes")), ["number", "block"])
+    taken = slots.groupBy("number", "block").agg(F.sort_array(F.collect_list("pass_")).alias("passes"))
+    return pieces.join(taken.hint("merge"), ["number", "block"])  # slots come from a short range of shards and look small to the planner
 
 
 def mix(docs: DataFrame, block_words: int = 128, rows_per_chunk: int = 50_000, seed: int = 7, **options) -> DataFrame:
