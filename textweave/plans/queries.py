@@ -113,8 +113,8 @@ def shingle_hash(spark, sf):
 @query("doc_simhash", f"""WITH t AS (SELECT item_id, unnest({Q.toks('text')}) AS w FROM benchmark), h AS (SELECT item_id, {_FNV} AS h FROM t),
 b AS (SELECT item_id, i, p, count(*) AS n, count(*) FILTER ((h // p) % 2 = 1) AS hi, count(*) FILTER ((xor(h, {T.SIMHASH_LOW_MASK + 2**64}::UHUGEINT) // p) % 2 = 1) AS lo
   FROM h, (SELECT i, list_reduce(list_prepend(1::UHUGEINT, list_transform(range(0, i), lambda k: 2::UHUGEINT)), lambda a, c: a * c) AS p FROM range(0, 64) r(i)) GROUP BY item_id, i, p)
-SELECT item_id, lpad(lower(to_hex((sum(CASE WHEN 2 * hi > n THEN p ELSE 0 END))::UBIGINT)), 16, '0') AS simhash_hi,
-  lpad(lower(to_hex((sum(CASE WHEN 2 * lo > n THEN p ELSE 0 END))::UBIGINT)), 16, '0') AS simhash_lo FROM b GROUP BY item_id""")
+SELECT item_id, lpad(lower(to_hex((sum(CASE WHEN 2 * hi > n THEN p::HUGEINT ELSE 0 END))::UBIGINT)), 16, '0') AS simhash_hi,
+  lpad(lower(to_hex((sum(CASE WHEN 2 * lo > n THEN p::HUGEINT ELSE 0 END))::UBIGINT)), 16, '0') AS simhash_lo FROM b GROUP BY item_id""")
 def doc_simhash(spark, sf):
     source = table(spark, sf, "benchmark").withColumns({"did": F.col("item_id"), "doc_id": F.col("item_id").cast("string"), "is_normalized": F.lit(False)} | {c: F.lit("") for c in EMPTY_STRINGS})
     docs = I.documents(I.prepare(source), F.lit("b"))
