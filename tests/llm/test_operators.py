@@ -69,6 +69,28 @@ def test_near_duplicates_equal_brute_force(spark, size, percent):
         assert got[i] == (n, r if n else i, r == i or not n), (i, texts[i])
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_duplicates_at_the_threshold_beside_the_least_id(spark, percent):
+    """Pairs of sets exactly at the threshold; under their keys stand documents of lesser ids that are near neither."""
+    rng = random.Random(21)
+    texts, bounds, pairs = [], [0], 0
+    for f in range(120):
+        union = [f"f{f}w{i}" for i in range(rng.choice([20, 40, 80, 120, 200, 400]))]
+        n = len(union) - -(-len(union) * percent // 100)
+        sides = [union[n // 2 :], union[: n // 2] + union[n:]]
+        for k in range(12):
+            kept = rng.sample(union, int(0.86 * len(union)))
+            texts.append(" ".join(kept + [f"f{f}k{k}n{i}" for i in range(len(union) // 10)]))
+        texts += [" ".join(s) for s in sides]
+        bounds.append(len(texts))
+    got = {r.doc_id: r.component_id for r in near_duplicates(frame(spark, texts), 1, percent).collect()}
+    for a, b in zip(bounds, bounds[1:]):
+        want = [a + r for _, r in brute_components(texts[a:b], 1, percent)]
+        assert [got[i] for i in range(a, b)] == want
+        pairs += want[-1] == b - 2
+    assert pairs > 60  # linked with each other only
+
+
 def test_near_duplicates_of_odd_rows(spark):
     docs = frame(spark, ["a b c d e f", "a b c d e f", "q r s", "q r s", None], [7, None, 3, 3, 9]).withColumn("n_shingles", F.lit("clash")).withColumn("id", F.lit(1))
     rows = sorted(near_duplicates(docs).collect(), key=str)

@@ -109,9 +109,10 @@ def _plausible(percent: int):
     """Pairs of a block that are in different components, agree in size, and whose bins differ little enough.
 
     The union's least hashes in its used bins are a sample without replacement from the union, so the
-    bins that differ follow a hypergeometric law; 5 sigma above its mean at the least similarity is let
-    pass (at that similarity one pair in a million doesn't). A first look takes an eighth of the bins. A pair
-    that meets under several keys is told under the first of them only.
+    bins that differ follow a hypergeometric law; 5 sigma above its mean at the least similarity, and one
+    bin, is let pass. A first look takes an eighth of the bins and 6 sigma: its used bins are fewer, but are
+    a sample of the same whole union. At the least similarity the law's tails lose at most 4 pairs in a
+    million. A pair that meets under several keys is told under the first of them only.
     """
     share = 1 - percent / 100
 
@@ -134,7 +135,7 @@ def _plausible(percent: int):
             j = np.flatnonzero(there & (roots != roots[i]) & ((ids > ids[i]) | (low != high)) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
             for table, sigmas in ((look, 6), (codes, 5)):
                 if len(j):
-                    union = np.ceil((n[j] + n[i]) / (1 + percent / 100)) * (table.shape[1] / BINS)
+                    union = np.ceil((n[j] + n[i]) / (1 + percent / 100))
                     used = np.count_nonzero(table[j] | table[i], axis=1)
                     j = j[np.count_nonzero(table[j] != table[i], axis=1) <= most(union, used, sigmas)]
             if len(j):
