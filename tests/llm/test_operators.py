@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textweave.llm import mixing, pii, secrets
 from textweave.llm.components import components
-from textweave.llm.decontaminate import clean, overlaps
+from textweave.llm.decontaminate import _overlap, clean, overlaps
 from textweave.llm.line_dedup import dedup_lines
 from textweave.llm.minhash_dedup import drop_near_duplicates, near_duplicates
 from textweave.llm.nearest import nearest
@@ -270,6 +270,25 @@ def test_overlaps_stand_substitutions(spark):
     assert clean(docs, bench.limit(0)).count() == len(texts) and clean(docs.limit(0), bench).count() == 0
 
 
+def test_runs_equal_brute_force(spark):
+    """A change among the first words of a passage, and random changes in parts of an item, laid at one place."""
+    rng = random.Random(14)
+    rows = [([1, 1, 1, 0] + [1] * 12 + [0] * 43, 13), ([1] * 12 + [0] + [1] * 3 + [0] * 43, 13)]
+    for run in (6, 13):
+        for _ in range(150):
+            n, start = rng.randrange(1, 30), rng.randrange(30)
+            rows.append(([0] * start + [int(rng.random() < 0.8) for _ in range(n)] + [0] * (59 - start - n), run))
+    want = [any(5 * sum(same[a:b]) >= 4 * (b - a) for b in range(run, 60) for a in range(b - run + 1)) for same, run in rows]
+    for run in (6, 13):
+        df = spark.createDataFrame([(k, list(range(59)), [i if s else -1 for i, s in enumerate(same)]) for k, (same, r) in enumerate(rows) if r == run], "k int, item array<int>, words array<int>")
+        for r in df.select("k", _overlap(F.col("words"), F.col("item"), F.lit(0), run).alias("o")).collect():
+            assert (r.o.equal, r.o.run) == (sum(rows[r.k][0]), want[r.k]), rows[r.k]
+    assert want[:2] == [True, True] and 50 < sum(want) < 250
+    docs = [f"before {' '.join(f'w{i}' if s else f'x{i}' for i, s in enumerate(rows[k][0][:16]))} after" for k in (0, 1)]
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(59)))], "item_id long, text string")
+    assert {(r.doc_id, r.equal) for r in overlaps(frame(spark, docs), bench).collect()} == {(0, 15), (1, 15)}
+
+
 # ---- toxicity
 
 def test_toxicity_is_learned_and_held_out(spark):

@@ -34,21 +34,29 @@ def _masked(words: Column, seed: str, number: int) -> Column:
     return F.coalesce(F.transform(places, lambda i: F.xxhash64(F.lit(number), *[F.get(words, i + j) for j in at])), F.array().cast("array<bigint>"))
 
 
-def _overlap(words: Column, item: Column, shift: Column) -> Column:
-    """Equal words of ``item`` and of ``words`` from place ``shift`` on, and the longest stretch of the item whose equal words are at least 80 %."""
-    pairs = F.transform(item, lambda w, i: (F.get(words, i + shift) == w) & (i + shift >= 0))
+def _overlap(words: Column, item: Column, shift: Column, least_run: int) -> Column:
+    """Equal words of ``item`` and of ``words`` from place ``shift`` on, and whether some stretch of at least ``least_run`` words of the item has at least 80 % equal.
+
+    With 1 for an equal word and -4 for another, a stretch has 80 % if its sum is not negative. So the
+    sums of the item's first words are compared with the least such sum ``least_run`` or more words before.
+    """
+    pairs = F.transform(item, lambda w, i: F.coalesce((F.get(words, i + shift) == w) & (i + shift >= 0), F.lit(False)))
+
+    def gain(same: Column) -> Column:
+        return F.when(same, 1).otherwise(-4)
 
     def step(seen: Column, same: Column) -> Column:
-        same = F.coalesce(same, F.lit(False))
-        gain = seen["run"] + F.when(same, 1).otherwise(-4)
-        run = F.greatest(gain, F.lit(0))
-        length = F.when(gain > 0, seen["length"] + 1).otherwise(0)
+        at = seen["at"] + 1
+        total = seen["total"] + gain(same)
+        before = F.when(at > least_run, seen["before"] + gain(F.get(pairs, at - least_run - 1))).otherwise(0)
+        low = F.least(seen["low"], before)
         return F.struct(
-            (seen["equal"] + same.cast("int")).alias("equal"), run.alias("run"), length.alias("length"), F.greatest(seen["best"], F.when(same, length).otherwise(0)).alias("best")
+            at.alias("at"), (seen["equal"] + same.cast("int")).alias("equal"), total.alias("total"), before.alias("before"), low.alias("low"),
+            (seen["run"] | ((at >= least_run) & (total >= low))).alias("run"),
         )
 
-    zero = F.struct(*[F.lit(0).alias(c) for c in ("equal", "run", "length", "best")])
-    return F.aggregate(pairs, zero, step, lambda s: F.struct(s["equal"].alias("equal"), s["best"].alias("best")))
+    zero = F.struct(*[F.lit(0).alias(c) for c in ("at", "equal", "total", "before", "low")], F.lit(False).alias("run"))
+    return F.aggregate(pairs, zero, step, lambda s: F.struct(s["equal"].alias("equal"), s["run"].alias("run")))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, seeds: Sequence[str] = SEEDS, least_share: float = 0.6, least_run: int = 13, id_col: str = "doc_id") -> DataFrame:
@@ -77,8 +85,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, seeds: Sequence[str] = SEEDS
     words = docs.select(F.col(id_col).alias("id"), _words(F.col("text")).alias("words")).filter("id IS NOT NULL")
     hits = hashed(words, "words", "id", "words").join(size(known), "h")
     hits = hits.select("id", "words", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).join(size(items), "item_id")
-    laid = hits.select("id", "item_id", F.size("item").alias("item_words"), _overlap(F.col("words"), F.col("item"), F.col("shift")).alias("o"))
-    held = laid.filter((F.col("o.equal") >= least_share * F.col("item_words")) | (F.col("o.best") >= least_run))
+    laid = hits.select("id", "item_id", F.size("item").alias("item_words"), _overlap(F.col("words"), F.col("item"), F.col("shift"), least_run).alias("o"))
+    held = laid.filter((F.col("o.equal") >= least_share * F.col("item_words")) | F.col("o.run"))
     return held.groupBy("id", "item_id").agg(F.max("o.equal").alias("equal"), F.max("item_words").alias("item_words")).withColumnRenamed("id", id_col)
 
 
