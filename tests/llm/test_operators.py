@@ -289,6 +289,38 @@ def test_runs_equal_brute_force(spark):
     assert {(r.doc_id, r.equal) for r in overlaps(frame(spark, docs), bench).collect()} == {(0, 15), (1, 15)}
 
 
+def holds(words, item, share=0.6, run=13):
+    """On some diagonal, by trying all stretches: equal words, or 0."""
+    best = 0
+    for shift in range(1 - len(item), len(words)):
+        same = [0 <= i + shift < len(words) and words[i + shift] == w for i, w in enumerate(item)]
+        ok = sum(same) >= share * len(item) or any(5 * sum(same[a:b]) >= 4 * (b - a) for b in range(run, len(item) + 1) for a in range(b - run + 1))
+        best = max(best, sum(same) if ok else 0)
+    return best
+
+
+def substituted(rng, words, n):
+    at = set(rng.sample(range(len(words)), n))
+    return [f"x{rng.randrange(10**6)}" if i in at else w for i, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("lengths", [(40,), (1, 2, 3, 4, 5), (6, 7, 8, 9, 10), (11, 12, 16, 20, 25)])
+def test_overlaps_equal_brute_force(spark, lengths):
+    """Items with as many words changed as the rule allows, or one more, and changed parts of items."""
+    rng = random.Random(15)
+    items = [random_text(rng, n).split() for n in lengths]
+    texts = []
+    for item in items:
+        for _ in range(60 // len(lengths)):
+            part = item if len(item) < 20 or rng.random() < 0.5 else item[(a := rng.randrange(len(item) - 13)) : a + rng.randrange(13, 30)]
+            most = len(part) * 2 // 5 if part is item else len(part) // 5
+            texts.append(random_text(rng, 5).split() + substituted(rng, part, max(0, min(len(part), most + rng.choice([0, 0, -1, 1])))) + random_text(rng, 5).split())
+    want = {(i, k): n for i, t in enumerate(texts) for k, item in enumerate(items) if (n := holds(t, item))}
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.equal for r in overlaps(frame(spark, [" ".join(t) for t in texts]), bench).collect()}
+    assert got == want and 30 < len(want)
+
+
 # ---- toxicity
 
 def test_toxicity_is_learned_and_held_out(spark):

@@ -1,22 +1,26 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A seed is a fixed mask over consecutive words; words at its zeros are ignored, so one changed word breaks
-only the seeds that look at it. Masked hashes of all document positions are joined with those of the
-benchmark. Around each hit the document's words are laid against the whole benchmark item along the hit's
-diagonal, and the equal words are counted: substitutions cost one word each. DataFrame functions only.
+A seed is a mask over consecutive words. The seeds are so light that no text that holds an item is without a
+hit: where 60 % of six or more words are equal, two neighbours are equal and a third word within four words
+of them (any such stretch has a block of 6 to 11 words with 60 %, and those blocks have been tried one by
+one); where 60 % of two to five are, two words are equal that are one or two places apart. Hashes of all
+document positions are joined with those of the benchmark. Only the first hit of a run of equal words with
+a third equal word near it is laid out: the document's words against the whole benchmark item along the
+hit's diagonal, where the equal words are counted, so that substitutions cost one word each. DataFrame
+functions only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textweave.llm.common import listed, materialise, table
 
-#: Masks of span 11 and 12 and weight 7.
-SEEDS = ("11011010011", "110010111001")
+#: Places of a mask's second word, and the lengths of the items that need it: neighbours; one word between; a single word.
+SEEDS = ((1, 2, None), (2, 3, 5), (0, 1, 1))
+#: Items of so many words need a third equal word at most ``AROUND`` words from the pair.
+LONG, AROUND = 6, 4
 #: Benchmark rows (a masked hash, an item and a place: about 40 bytes) that are broadcast at most.
 BROADCAST_ROWS = 2_000_000
 
@@ -27,11 +31,27 @@ def _words(text: Column) -> Column:
     return F.transform(F.filter(F.split(plain, " "), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _masked(words: Column, seed: str, number: int) -> Column:
-    """The hash of each window of ``words`` under one mask, in order."""
-    at = [i for i, c in enumerate(seed) if c == "1"]
-    places = F.when(F.size(words) >= len(seed), F.sequence(F.lit(0), F.size(words) - len(seed)))
-    return F.coalesce(F.transform(places, lambda i: F.xxhash64(F.lit(number), *[F.get(words, i + j) for j in at])), F.array().cast("array<bigint>"))
+def _hits(df: DataFrame, words: str, number: int, apart: int) -> DataFrame:
+    """Each place of ``words`` with the hash ``h`` of the word there and the one ``apart`` places on."""
+    each = df.select("*", F.posexplode(words).alias("place", "_w")).withColumn("_v", F.get(words, F.col("place") + apart))
+    return each.filter("_v IS NOT NULL").withColumn("h", F.xxhash64(F.lit(number), "_w", "_v")).drop("_w", "_v")
+
+
+def _begins(words: Column, item: Column, place: Column, at: Column) -> Column:
+    """Whether the equal pair at ``place`` of the document and ``at`` of the item isn't continued from the words before, and a third word near it is equal."""
+
+    def same(by: int) -> Column:
+        return F.coalesce(F.get(words, place + by) == F.get(item, at + by), F.lit(False))
+
+    near = F.lit(False)
+    for by in (*range(-AROUND, 0), *range(2, AROUND + 2)):
+        near = near | same(by)
+    return ~same(-1) & near
+
+
+def _equal(words: Column, item: Column, shift: Column) -> Column:
+    """The number of equal words of ``item`` and of ``words`` from place ``shift`` on."""
+    return F.size(F.filter(item, lambda w, i: F.get(words, i + shift) == w))
 
 
 def _overlap(words: Column, item: Column, shift: Column, least_run: int) -> Column:
@@ -40,7 +60,9 @@ def _overlap(words: Column, item: Column, shift: Column, least_run: int) -> Colu
     With 1 for an equal word and -4 for another, a stretch has 80 % if its sum is not negative. So the
     sums of the item's first words are compared with the least such sum ``least_run`` or more words before.
     """
-    pairs = F.transform(item, lambda w, i: F.coalesce((F.get(words, i + shift) == w) & (i + shift >= 0), F.lit(False)))
+
+    def equal(i: Column, w: Column) -> Column:
+        return F.coalesce(F.get(words, i + shift) == w, F.lit(False))
 
     def gain(same: Column) -> Column:
         return F.when(same, 1).otherwise(-4)
@@ -48,7 +70,8 @@ def _overlap(words: Column, item: Column, shift: Column, least_run: int) -> Colu
     def step(seen: Column, same: Column) -> Column:
         at = seen["at"] + 1
         total = seen["total"] + gain(same)
-        before = F.when(at > least_run, seen["before"] + gain(F.get(pairs, at - least_run - 1))).otherwise(0)
+        left = seen["at"] - least_run  # compared again: a lookup in the pairs would build them anew at each step
+        before = F.when(left >= 0, seen["before"] + gain(equal(left, F.get(item, left)))).otherwise(0)
         low = F.least(seen["low"], before)
         return F.struct(
             at.alias("at"), (seen["equal"] + same.cast("int")).alias("equal"), total.alias("total"), before.alias("before"), low.alias("low"),
@@ -56,38 +79,44 @@ def _overlap(words: Column, item: Column, shift: Column, least_run: int) -> Colu
         )
 
     zero = F.struct(*[F.lit(0).alias(c) for c in ("at", "equal", "total", "before", "low")], F.lit(False).alias("run"))
-    return F.aggregate(pairs, zero, step, lambda s: F.struct(s["equal"].alias("equal"), s["run"].alias("run")))
+    return F.aggregate(F.transform(item, lambda w, i: equal(i, w)), zero, step, lambda s: F.struct(s["equal"].alias("equal"), s["run"].alias("run")))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, seeds: Sequence[str] = SEEDS, least_share: float = 0.6, least_run: int = 13, id_col: str = "doc_id") -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.6, least_run: int = 13, id_col: str = "doc_id") -> DataFrame:
     """(id, item_id, equal, item_words): a document and an item that it holds.
 
-    It does if, on the diagonal of some seed hit, at least ``least_share`` of the item's words are equal, or
-    a stretch of at least ``least_run`` words has at least 80 % equal. Items shorter than a mask are found
-    when their words appear whole. Null or blank texts and items hold nothing; documents with a null id
-    are left out. Repeated rows count once.
+    It does if, laid at some place, at least ``least_share`` of the item's words are equal, or a stretch of
+    at least ``least_run`` words has at least 80 % equal, whatever the item's length. All such documents are
+    found; a share under 0.6 or a run under 6 words, for which the seeds don't vouch, is an error. Null or
+    blank texts and items hold nothing; documents with a null id are left out. Repeated rows count once.
     """
+    if least_share < 0.6 or least_run < LONG:
+        raise ValueError(f"the seeds find shares of 0.6 and runs of {LONG} words or more")
     items = benchmark.select("item_id", _words(F.col("text")).alias("item")).filter("item_id IS NOT NULL AND size(item) > 0").dropDuplicates(["item"])
-    items = materialise(items)
-    span = min(map(len, seeds))
-    # one more mask, without zeros, for each length of the items that are too short for the seeds
-    short = [r["n"] for r in items.select(F.size("item").alias("n")).filter(F.col("n") < span).distinct().collect()]
-    masks = [*seeds, *["1" * n for n in sorted(short)]]
-
-    def hashed(df: DataFrame, words: str, *columns: str) -> DataFrame:
-        each = F.concat(*[F.transform(_masked(F.col(words), m, k), lambda h, i: F.struct(h.alias("h"), i.alias("place"))) for k, m in enumerate(masks)])
-        return df.select(*columns, F.explode(each).alias("_e")).select(*columns, F.col("_e.h").alias("h"), F.col("_e.place").alias("place"))
-
-    known = materialise(hashed(items, "item", "item_id").withColumnRenamed("place", "item_place"))
-    known = known.filter("h IS NOT NULL")
-    small = known.count() <= BROADCAST_ROWS
-    size = F.broadcast if small else (lambda df: df)
+    items = materialise(items.withColumn("n", F.size("item")))
     words = docs.select(F.col(id_col).alias("id"), _words(F.col("text")).alias("words")).filter("id IS NOT NULL")
-    hits = hashed(words, "words", "id", "words").join(size(known), "h")
-    hits = hits.select("id", "words", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).join(size(items), "item_id")
-    laid = hits.select("id", "item_id", F.size("item").alias("item_words"), _overlap(F.col("words"), F.col("item"), F.col("shift"), least_run).alias("o"))
-    held = laid.filter((F.col("o.equal") >= least_share * F.col("item_words")) | F.col("o.run"))
-    return held.groupBy("id", "item_id").agg(F.max("o.equal").alias("equal"), F.max("item_words").alias("item_words")).withColumnRenamed("id", id_col)
+    lengths = {r["n"] for r in items.select("n").distinct().collect()}
+    found = []
+    for number, (apart, least, most) in enumerate(SEEDS):
+        if number and not any(least <= n <= most for n in lengths):
+            continue
+        fit = items.filter(F.col("n") >= least) if most is None else items.filter(F.col("n").between(least, most))
+        known = materialise(_hits(fit, "item", number, apart).select("h", "item_id", F.col("place").alias("item_place")))
+        size = F.broadcast if known.count() <= BROADCAST_ROWS else (lambda df: df)
+        hits = _hits(words, "words", number, apart).join(size(known), "h").join(size(fit), "item_id")
+        shift = F.col("place") - F.col("item_place")
+        equal = _equal(F.col("words"), F.col("item"), shift)
+        # few hits have enough equal words for either rule; the condition guards the search for stretches wherever the planner puts it
+        worth = equal >= F.least(least_share * F.col("n"), F.lit(0.8 * least_run))
+        if not number:
+            begins = (F.col("n") < LONG) | _begins(F.col("words"), F.col("item"), F.col("place"), F.col("item_place"))
+            hits, worth = hits.filter(begins), begins & worth
+        found.append(hits.select("id", "item_id", "n", F.when(worth, _overlap(F.col("words"), F.col("item"), shift, least_run)).alias("o")))
+    laid = found[0]
+    for more in found[1:]:
+        laid = laid.unionByName(more)
+    held = laid.filter((F.col("o.equal") >= least_share * F.col("n")) | F.col("o.run"))
+    return held.groupBy("id", "item_id").agg(F.max("o.equal").alias("equal"), F.max("n").alias("item_words")).withColumnRenamed("id", id_col)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
