@@ -13,8 +13,8 @@ from textweave.llm.mixing import mix_texts
 from textweave.llm.sharding import assign
 from textweave.llm.toxicity import score, train
 
-#: Documents with a toxicity score of this or more are rejected.
-TOXIC = 0.5
+#: Documents with a toxicity score of this or more are rejected: those that op7_toxicity calls toxic.
+TOXIC = 0.3
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

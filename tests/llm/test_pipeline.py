@@ -21,3 +21,10 @@ def test_odd_tables_pass_through(spark):
         out = stage(spark, odd, SF)
         assert set(odd.columns) <= set(out.columns) and 2 in [r.doc_id for r in out.collect()], name
         assert stage(spark, odd.limit(0), SF).count() == 0
+
+
+def test_what_the_operator_calls_toxic_is_rejected(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a", 0.29), (2, "b", 0.3), (3, "c", 0.4), (4, "d", 0.6)], "doc_id long, text string, score double")
+    monkeypatch.setattr(corpus_pipeline, "train", lambda *_: None)
+    monkeypatch.setattr(corpus_pipeline, "score", lambda docs, _: docs)
+    assert [r.doc_id for r in corpus_pipeline.toxicity(spark, docs, SF).collect()] == [1]
