@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from textweave.llm import mixing, pii, secrets
 from textweave.llm.components import components
-from textweave.llm.decontaminate import _overlap, clean, overlaps
+from textweave.llm.decontaminate import BROADCAST_ROWS, LEAST_RUN, LEAST_SHARE, SEEDS, _overlap, clean, op3_decontaminate, overlaps
 from textweave.llm.line_dedup import dedup_lines
 from textweave.llm.minhash_dedup import drop_near_duplicates, near_duplicates
 from textweave.llm.nearest import nearest
@@ -321,6 +321,56 @@ def test_overlaps_equal_brute_force(spark, lengths):
     assert got == want and 30 < len(want)
 
 
+def escapes(masks, length):
+    """The most equal words of ``length`` in a row that no mask hits, by going through all ways from left to right."""
+    width = max(m[-1] for m in masks)
+    best = {(): 0}
+    for _ in range(length):
+        grown = {}
+        for seen, n in best.items():
+            for same in (0, 1):
+                now = (*seen, same)
+                if any(len(now) > m[-1] and all(now[len(now) - 1 - m[-1] + at] for at in m) for m in masks):
+                    continue
+                key = now[-width:] if width else ()
+                grown[key] = max(grown.get(key, -1), n + same)
+        best = grown
+    return max(best.values(), default=-1)
+
+
+def test_no_held_item_escapes_the_masks():
+    """For items of 1 to 80 words, and for any longer ones made up of stretches of 6 to 11 words, of which one has the share of the whole."""
+    for n in range(1, 81):
+        masks = [m for m, least, most in SEEDS if least <= n <= (most or n)]
+        assert escapes(masks, n) < LEAST_SHARE * n, n
+    always = [m for m, _, most in SEEDS if most is None]
+    assert all(escapes(always, n) < LEAST_SHARE * n for n in range(LEAST_RUN, 12))
+
+
+def test_equal_items_are_all_told_and_both_ways_agree(spark):
+    rng = random.Random(16)
+    words = random_text(rng, 20)
+    items = [(1, words), (2, words.upper()), (None, words), (4, "one two three"), (5, "alone"), (6, random_text(rng, 30)), (7, ""), (8, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("k", F.lit("clash"))
+    texts = [f"{random_text(rng, 9)} {words} {words}", "one x three", "it stands alone.", items[5][1], None, "", random_text(rng, 2000), "!" * 5000]
+    docs = frame(spark, texts * 2, [*range(8)] * 2).withColumn("words", F.lit("clash")).withColumn("id", F.lit(1))
+    docs = docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    want = {(0, 1, 20), (0, 2, 20), (0, None, 20), (1, 4, 2), (2, 5, 1), (3, 6, 30)}
+    for rows in (BROADCAST_ROWS, 0):  # masked hashes broadcast, or shuffled
+        got = [(r.doc_id, r.item_id, r.equal) for r in overlaps(docs, bench, broadcast_rows=rows).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert sorted(r.doc_id or -1 for r in clean(docs, bench).collect()) == [-1, 4, 4, 5, 5, 6, 6, 7, 7]
+
+
+def test_the_query_tells_each_document_once(spark, tmp_path):
+    items = [(3, "a b c d e f g"), (1, "A b, c d e f g!"), (2, "seven other words that nobody will say")]
+    texts = ["so a b c x e f g", None, "nothing", "a b c d e f g"]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.contaminated, r.n_items, r["items"]) for r in op3_decontaminate(spark, str(tmp_path)).collect()}
+    assert got == {0: (True, 2, "1,3"), 1: (False, 0, ""), 2: (False, 0, ""), 3: (True, 2, "1,3")}
+
+
 # ---- toxicity
 
 def test_toxicity_is_learned_and_held_out(spark):
