@@ -27,11 +27,15 @@ def test_only_spaces_split_text_taken_as_it_is(spark):
 def test_hashes_are_bit_exact(spark):
     words = ["a", "слово", "x" * 300, "日本", "0"]
     rows = spark.createDataFrame([(words,)], "w array<string>").select(F.transform("w", T.token_hash).alias("h"))
-    rows = rows.select("h", T.shingle_hash(F.col("h")).alias("s"), T.simhash64(F.col("h")).alias("v")).first()
+    rows = rows.select("h", T.shingle_hash(F.col("h")).alias("s"), T.simhashes(F.col("h")).alias("v")).first()
     want = [model.fnv(w) for w in words]
     assert [h % 2**64 for h in rows.h] == want
     assert rows.s % 2**64 == model.combined(want)
-    assert rows.v % 2**64 == model.simhash(want)
+    low = T.SIMHASH_LOW_MASK % 2**64
+    assert (rows.v.hi % 2**64, rows.v.lo % 2**64) == (model.simhash(want), model.simhash([h ^ low for h in want]))
+    even = spark.createDataFrame([([1, 3, -1, 0], []), ([1, 2, 3], [7])], "a array<long>, b array<long>").select(T.simhashes(F.col("a")).alias("a"), T.simhashes(F.col("b")).alias("b")).collect()
+    for r, (a, b) in zip(even, (([1, 3, 2**64 - 1, 0], []), ([1, 2, 3], [7])), strict=True):
+        assert [x % 2**64 for x in (*r.a, *r.b)] == [model.simhash([h ^ m for h in hs]) for hs in (a, b) for m in (0, low)]
 
 
 def test_prefix_ends_between_characters(spark):

@@ -45,16 +45,17 @@ def wrapping_add(x: Column, y: Column) -> Column:
 
 
 def _times_prime(x: Column) -> Column:
+    """By halves: the prime's 2^40 shifts the low half into the high one."""
     small = F.lit(TOKEN_PRIME_LOW).cast("long")
-    return wrapping_add(F.shiftleft(x, 40), wrapping_add(_low(x) * small, F.shiftleft(_high(x) * small, 32)))
+    low = _low(x) * small
+    high = _high(x) * small + _high(low) + _low(F.shiftleft(_low(x), 8))
+    return F.shiftleft(high, 32).bitwiseOR(_low(low))
 
 
 def token_hash(token: Column) -> Column:
     """The 64-bit FNV-1a fold of the UTF-8 bytes, from its own basis."""
-    digits = F.hex(F.encode(token, "UTF-8"))
-    places = F.when(F.length(digits) > 0, F.sequence(F.lit(1), F.length(digits), F.lit(2))).otherwise(F.array().cast("array<int>"))
-    data = F.transform(places, lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("long"))
-    return F.aggregate(data, F.lit(TOKEN_BASIS).cast("long"), lambda h, b: _times_prime(h.bitwiseXOR(b)))
+    data = F.filter(F.split(F.decode(F.encode(token, "UTF-8"), "ISO-8859-1"), ""), lambda c: c != "")  # a character a byte
+    return F.aggregate(data, F.lit(TOKEN_BASIS).cast("long"), lambda h, c: _times_prime(h.bitwiseXOR(F.ascii(c).cast("long"))))
 
 
 def shingle_hash(token_hashes: Column) -> Column:
@@ -67,14 +68,28 @@ def shingle_hash(token_hashes: Column) -> Column:
     return F.aggregate(token_hashes, basis, step)
 
 
-def simhash64(token_hashes: Column) -> Column:
-    """Bit i is set if more than half of the hashes have it; ties clear it."""
+def simhashes(token_hashes: Column) -> Column:
+    """(hi, lo): bit i is set if more than half of the hashes have it; ties clear it. lo is that of the hashes xor a constant.
 
-    def bit(i: Column) -> Column:
-        votes = F.aggregate(token_hashes, F.lit(0), lambda n, h: n + F.call_function("shiftrightunsigned", h, i).bitwiseAND(F.lit(1).cast("long")).cast("int"))
-        return F.when(2 * votes > F.size(token_hashes), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+    One pass: 32 counters hold the votes for bits i and i + 32 in their halves. Where the constant has a
+    bit, lo's votes are the others.
+    """
+    halves = F.lit((1 << 32) | 1).cast("long")
+    zero = F.struct(*[F.lit(0).cast("long").alias(f"c{i}") for i in range(32)], F.lit(0).alias("n"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda h, i: h.bitwiseOR(bit(i)))
+    def step(seen: Column, h: Column) -> Column:
+        return F.struct(*[(seen[f"c{i}"] + F.shiftrightunsigned(h, i).bitwiseAND(halves)).alias(f"c{i}") for i in range(32)], (seen["n"] + 1).alias("n"))
+
+    def end(seen: Column) -> Column:
+        hi = lo = F.lit(0).cast("long")
+        for i in range(64):
+            twice = 2 * F.shiftrightunsigned(seen[f"c{i % 32}"], i // 32 * 32).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+            bit = F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long")
+            more, less = F.when(twice > seen["n"], bit).otherwise(0), F.when(twice < seen["n"], bit).otherwise(0)
+            hi, lo = hi.bitwiseOR(more), lo.bitwiseOR(less if SIMHASH_LOW_MASK >> i & 1 else more)
+        return F.struct(hi.alias("hi"), lo.alias("lo"))
+
+    return F.aggregate(token_hashes, zero, step, end)
 
 
 def unsigned_hex(h: Column) -> Column:

@@ -5,18 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textweave.functions.text import SHINGLE, normalize, shingle_hash, shingle_keys, simhash64, SIMHASH_LOW_MASK, token_hash, tokens, utf8_prefix
+from textweave.functions.text import SHINGLE, normalize, shingle_hash, shingle_keys, simhashes, token_hash, tokens, utf8_prefix
 from textweave.plans.options import BuildOptions
 
 
-def clipped(text: Column, is_normalized: Column, most: int) -> Column:
-    """At most ``most`` bytes (0: all). Normalised text is cut between characters; of other text a broken last character becomes a separator anyway."""
+def tasks(spark) -> int:
+    """Partitions to deal rows into: those asked for, and at least one a core."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out anew if it comes in fewer partitions than there are cores, as one small file does; large inputs stay where they are."""
+    return df.repartition(tasks(df.sparkSession)) if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism else df
+
+
+def clipped(text: Column, most: int) -> Column:
+    """At most ``most`` bytes (0: all), cut between characters; of text to be normalised a broken last character would become a separator anyway."""
     return text if not most else F.when(F.octet_length(text) > most, utf8_prefix(text, most)).otherwise(text)
 
 
 def prepare(records: DataFrame, options: BuildOptions = BuildOptions()) -> DataFrame:
     """``records`` (doc_id, text, is_normalized, ...) with ``body`` and ``toks``, without documents of fewer than nine tokens."""
-    text = clipped(F.col("text"), F.col("is_normalized"), options.max_text_bytes)
+    text = clipped(F.col("text"), options.max_text_bytes)
     body = F.when(F.col("is_normalized"), text).otherwise(normalize(text))
     out = records.withColumn("body", body).withColumn("toks", F.slice(tokens(F.col("body")), 1, options.max_tokens))
     return out.filter(F.size("toks") >= SHINGLE)
@@ -29,9 +39,7 @@ def documents(prepared: DataFrame, segment: Column, options: BuildOptions = Buil
     out = out.withColumn("meta_path", F.concat("segment", F.lit("/")))
     columns = ["segment", "did", "tok_len", "doc_id", "organization_id", "external_id", "source_path", "source_name", "meta_path", "preview_text"]
     if simhash:
-        out = out.withColumn("_th", F.transform("toks", token_hash))
-        low = F.transform("_th", lambda h: h.bitwiseXOR(F.lit(SIMHASH_LOW_MASK).cast("long")))
-        out = out.withColumns({"simhash_hi": simhash64(F.col("_th")), "simhash_lo": simhash64(low)})
+        out = out.withColumn("_s", simhashes(F.transform("toks", token_hash))).withColumns({"simhash_hi": F.col("_s.hi"), "simhash_lo": F.col("_s.lo")})
         columns[3:3] = ["simhash_hi", "simhash_lo"]
     return out.select(*columns)
 

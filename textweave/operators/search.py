@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textweave.functions.text import SHINGLE, normalize, shingle_keys, tokens
+from textweave.operators.index import spread, tasks
 from textweave.plans.options import SearchOptions
 
 #: Distinct query hashes that are broadcast at most: 8 bytes each.
 BROADCAST_HASHES = 4_000_000
+#: Rows (a query, a segment and a document, or a hash) that are broadcast at most: some 30 bytes each.
+BROADCAST_ROWS = 1_000_000
 DOC_COLUMNS = ("organization_id", "external_id", "source_path", "source_name", "meta_path", "preview_text")
 
 
@@ -29,27 +32,41 @@ def doc_shingles(tok_len: Column) -> Column:
     return F.greatest(tok_len - (SHINGLE - 1), F.lit(0))
 
 
+def few_shingles(queries: DataFrame) -> bool:
+    """Whether the queries' shingles are few enough to broadcast, judged by the bytes of the texts: a shingle begins at a token, and no two tokens begin within two bytes."""
+    return (queries.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2 <= BROADCAST_HASHES
+
+
+def listed(df: DataFrame) -> DataFrame:
+    """``df``, kept, for one side of a join: broadcast if its counted length allows."""
+    kept = df.persist()
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
 def matched_postings(postings: DataFrame, shingles: DataFrame, most_per_hash: int, broadcast_hashes: bool | None = None) -> DataFrame:
     """Postings of the queries' hashes, without the hashes that a segment has more than ``most_per_hash`` times.
 
     Postings are reduced by a semi-join before anything else touches them, so later steps follow the
-    matches, not the index. The hash list is broadcast only when its length is known to be small.
+    matches, not the index. The hash list is broadcast only when its length is known to be small. Common
+    hashes are counted by partial sums, and only if there are any, their postings are left out by an
+    anti-join; no task gathers the postings of one hash.
     """
     hashes = shingles.select("h").distinct()
     if broadcast_hashes is None:
         broadcast_hashes = shingles.count() <= BROADCAST_HASHES
     hit = postings.join(F.broadcast(hashes) if broadcast_hashes else hashes, "h", "left_semi")
-    return hit.withColumn("_df", F.count(F.lit(1)).over(Window.partitionBy("segment", "h"))).filter(F.col("_df") <= most_per_hash).drop("_df")
+    common = hit.groupBy("segment", "h").agg(F.count(F.lit(1)).alias("_df")).filter(F.col("_df") > most_per_hash).select("segment", "h").persist()
+    n = common.count()
+    if not n:
+        common.unpersist()
+        return hit
+    return hit.join(F.broadcast(common) if n <= BROADCAST_ROWS else common, ["segment", "h"], "left_anti")
 
 
 def candidate_hits(matched: DataFrame, shingles: DataFrame) -> DataFrame:
     """(qid, segment, did, hits): postings of the document under distinct query hashes; repeats in the query don't count."""
-    return matched.join(shingles.select("qid", "h").distinct(), "h").groupBy("qid", "segment", "did").agg(F.count(F.lit(1)).alias("hits"))
-
-
-def hits_of_points(points: DataFrame) -> DataFrame:
-    """The same count from match points: a document position has one hash, so its distinct positions are its postings."""
-    return points.groupBy("qid", "segment", "did").agg(F.countDistinct("dpos").alias("hits"))
+    each = matched.groupBy("segment", "h", "did").agg(F.count(F.lit(1)).alias("_n"))
+    return each.join(shingles.select("qid", "h").distinct(), "h").groupBy("qid", "segment", "did").agg(F.sum("_n").alias("hits"))
 
 
 def candidates(hits: DataFrame, options: SearchOptions) -> DataFrame:
@@ -59,7 +76,7 @@ def candidates(hits: DataFrame, options: SearchOptions) -> DataFrame:
 
 def match_points(matched: DataFrame, shingles: DataFrame, chosen: DataFrame) -> DataFrame:
     """(qid, segment, did, qpos, dpos): all pairs of equal shingles in candidate documents."""
-    points = matched.join(shingles, "h").join(chosen.select("qid", "segment", "did"), ["qid", "segment", "did"], "left_semi")
+    points = matched.join(shingles, "h").join(chosen, ["qid", "segment", "did"], "left_semi")
     return points.select("qid", "segment", "did", "qpos", F.col("pos").alias("dpos"))
 
 
@@ -113,12 +130,13 @@ def top_hits(scored: DataFrame, options: SearchOptions, segment_order: DataFrame
 
 
 def search(postings: DataFrame, docs: DataFrame, queries: DataFrame, options: SearchOptions = SearchOptions(), normalized: bool = False, segment_order=None, tombstones=None) -> DataFrame:
-    """All steps as one plan. Shingles and points are each shuffled once, by an explicit key, and that shuffle is used again by what follows."""
-    shingles = query_shingles(queries, normalized).repartition("h")
-    matched = matched_postings(postings, shingles, options.max_postings_per_hash)
-    points = matched.join(shingles, "h").select("qid", "segment", "did", "qpos", F.col("pos").alias("dpos")).repartition("qid", "segment", "did")
-    chosen = candidates(hits_of_points(points), options)
-    kept = top_spans(spans(points.join(chosen.select("qid", "segment", "did"), ["qid", "segment", "did"], "left_semi"), options), options)
+    """All steps for all queries. Candidates are chosen from counts by hash and document; only then, and for them alone, are points made and dealt out by query and document."""
+    queries = spread(queries.select("qid", "text"))
+    shingles = query_shingles(queries, normalized)
+    matched = matched_postings(postings, shingles, options.max_postings_per_hash, few_shingles(queries))
+    chosen = listed(candidates(candidate_hits(matched, shingles), options).select("qid", "segment", "did"))
+    points = match_points(matched, shingles, chosen).repartition(tasks(queries.sparkSession), "qid", "segment", "did")
+    kept = top_spans(spans(points, options), options)
     return top_hits(scores(kept, shingles, docs, options), options, segment_order, tombstones)
 
 

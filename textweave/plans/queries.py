@@ -48,7 +48,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
 
 def index(source: DataFrame, segment=None, build: BuildOptions = BuildOptions()) -> tuple[DataFrame, DataFrame]:
     segment = F.lit("all") if segment is None else segment
-    prepared = I.prepare(source, build)
+    prepared = I.prepare(I.spread(source), build)
     return I.postings(prepared, segment, build), I.documents(prepared, segment, build, simhash=False)
 
 
@@ -138,7 +138,9 @@ def doc_shingles(spark, sf):
 @query("build_stats", Q.full("SELECT (SELECT count(*) FROM d) AS docs, (SELECT count(*) FROM p) AS postings", Q.corpus(Q.DOCUMENTS)))
 def build_stats(spark, sf):
     postings, docs = index(records(spark, sf))
-    return docs.agg(F.count(F.lit(1)).alias("docs"), F.sum(S.doc_shingles(F.col("tok_len"))).cast("long").alias("postings"))
+    zero = F.lit(0).cast("long")
+    counts = docs.agg(F.count(F.lit(1)).alias("docs"), zero.alias("postings")).unionByName(postings.agg(zero.alias("docs"), F.count(F.lit(1)).alias("postings")))
+    return counts.agg(F.sum("docs").alias("docs"), F.sum("postings").alias("postings"))
 
 
 @query("shingle_df", Q.full("SELECT df, CAST(count(*) AS BIGINT) AS hashes FROM (SELECT CAST(count(*) AS BIGINT) AS df FROM p GROUP BY h) GROUP BY df", Q.corpus(Q.DOCUMENTS)))

@@ -50,14 +50,16 @@ def append_manifest(spark: SparkSession, root: str, entry: dict) -> None:
     store.write(f"{root}/manifest.json", json.dumps(manifest))
 
 
-def _numbered(spark: SparkSession, prepared: DataFrame, staging: str) -> DataFrame:
-    """Dense document numbers in order of the document id.
+def _numbered(spark: SparkSession, records: DataFrame, options: BuildOptions, staging: str) -> DataFrame:
+    """Prepared documents with dense numbers in order of the document id.
 
-    The range-partitioned, sorted rows are written once with their partition and place, so numbers can't
-    change when a task runs again; only one row count a partition is summed up in one place.
+    Records are dealt out by range of the id before anything is made of their texts, in as many
+    partitions as there are tasks, whatever the number of input files. The prepared rows are written
+    once with their partition and place, so numbers can't change when a task runs again; only one row
+    count a partition is summed up in one place.
     """
-    placed = prepared.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    placed.withColumns({"_part": F.spark_partition_id(), "_n": F.monotonically_increasing_id()}).write.parquet(staging)
+    placed = I.prepare(records.repartitionByRange(I.tasks(spark), "doc_id").sortWithinPartitions("doc_id", "text"), options)
+    placed.drop("text").withColumns({"_part": F.spark_partition_id(), "_n": F.monotonically_increasing_id()}).write.parquet(staging)
     stored = spark.read.parquet(staging)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
@@ -74,7 +76,7 @@ def build_segment(spark: SparkSession, records: DataFrame, root: str, name: str
         raise ValueError(f"segment already exists: {name}")
     done = False
     try:
-        numbered = _numbered(spark, I.prepare(records, options), f"{path}/_staging")
+        numbered = _numbered(spark, records, options, f"{path}/_staging")
         if options.max_docs:
             numbered = numbered.filter(F.col("did") < options.max_docs)
         docs = I.documents(numbered, F.lit(name), options)
@@ -83,7 +85,7 @@ def build_segment(spark: SparkSession, records: DataFrame, root: str, name: str
         if not n_docs:
             raise ValueError("no valid documents")
         order = [unsigned_order(F.col("h")), F.col("did"), F.col("pos")]
-        postings = I.postings(numbered, F.lit(name), options).repartitionByRange(order[0]).sortWithinPartitions(*order)
+        postings = I.postings(numbered, F.lit(name), options).repartitionByRange(I.tasks(spark), order[0]).sortWithinPartitions(*order)
         postings.write.parquet(f"{path}/postings")
         stats = {"docs": n_docs, "k9": spark.read.parquet(f"{path}/postings").count(), "k13": 0}
         entry = {"segment_name": name, "path": path, "built_at_utc": now(), "stats": stats}
