@@ -15,7 +15,7 @@ from textweave.llm.line_dedup import dedup_lines
 from textweave.llm.minhash_dedup import drop_near_duplicates, near_duplicates
 from textweave.llm.nearest import nearest
 from textweave.llm.sharding import rendezvous, shard
-from textweave.llm.spans import joined, ordered
+from textweave.llm.spans import SPAN, first_from, joined, ordered, replaced, running
 from textweave.llm.toxicity import compose, grammar, held_out, learn, score
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -183,6 +183,101 @@ def test_joined_spans_are_in_order(spark):
     assert df.select(joined(ordered(secrets.KINDS, [c[k] for k in secrets.KINDS])).alias("s")).first().s == "assign:0:28,hex:8:28"
 
 
+def test_running_sums_and_cuts(spark):
+    rng = random.Random(17)
+    lists = [[], [5], [1] * 64, list(range(65)), [rng.randrange(9) for _ in range(64 * 64 + 3)]]
+    df = spark.createDataFrame(list(enumerate(lists)), "k int, xs array<int>")
+    for r in df.select("k", running(F.col("xs")).alias("s"), running(F.col("xs"), F.greatest).alias("m"), first_from(F.array_sort("xs"), F.lit(4)).alias("f")).collect():
+        xs = lists[r.k]
+        assert r.s == [sum(xs[:i]) for i in range(len(xs))] and r.m == [max(xs[:i], default=0) for i in range(len(xs))]
+        assert r.f == sum(x < 4 for x in xs)
+    texts, spans = ["", "abc", "é😀" * 3000, "x" * 2048 + "yz"], [[], [(0, 1, "_"), (1, 3, "")], [(0, 1, "A"), (2047, 4097, "B"), (4000, 4100, "C"), (5999, 6000, "D")], [(2047, 2049, "-"), (2048, 2048, "+")]]
+    rows = spark.createDataFrame([(k, t, s) for k, (t, s) in enumerate(zip(texts, spans, strict=True))], f"k int, t string, s array<{SPAN}>")
+    want = ["", "_", "A" + texts[2][1:2047] + "B" + "C" + texts[2][4100:5999] + "D", "x" * 2047 + "-" + "z"]
+    assert {r.k: r.r for r in rows.select("k", replaced(F.col("t"), F.col("s")).alias("r")).collect()} == dict(enumerate(want))
+
+
+def test_many_matches_and_lines_in_one_text_take_linear_time(spark):
+    """Twice the matches or lines take about twice the time, and far less than the square's four times."""
+    import time
+
+    seconds = defaultdict(list)
+    for n in (2000, 20_000, 40_000):  # the first warms up
+        text = "".join(f"some words a{i}@x.org token=abcdefghijkl{i} +1 234 567 {i:04} \n{'long line ' * 4}{i}\n" for i in range(n))
+        df = frame(spark, [text, "x"]).repartition(1).cache()
+        df.count()
+        for name, run in {
+            "pii": lambda: {r.doc_id: r.email for r in df.select("doc_id", *[F.size(c).alias(k) for k, c in pii.base_spans(F.col("text")).items()]).collect()}[0],
+            "secrets": lambda: {r.doc_id: r["assign"] for r in df.select("doc_id", *[F.size(c).alias(k) for k, c in secrets.base_spans(F.col("text")).items()]).collect()}[0],
+            "lines": lambda: {r.doc_id: r.n_lines for r in dedup_lines(df, min_docs=1).select("doc_id", "n_lines", F.sha2("kept_text", 256)).collect()}[0] // 2,
+        }.items():
+            began = time.time()
+            assert run() == n
+            seconds[name].append(time.time() - began)
+    assert all(s[2] < 3.2 * s[1] + 1 for s in seconds.values()), dict(seconds)
+
+
+def test_terms_are_spans_everywhere_beside_their_value(spark):
+    """All counts by a plain reading: documents in which a term stands within 64 code points of a value, and documents that hold it."""
+    rng = random.Random(18)
+    texts = [f"zanzibar heads {random_text(rng, 60)} zanzibar ann@x.org and zanzibar's end" for _ in range(4)] + [f"quux 10.1.2.{i % 3} {random_text(rng, 40, 30)}" for i in range(9)]
+    texts += [f"quux {random_text(rng, 30, 30)}" for _ in range(3)] + [random_text(rng, 40, 30) for _ in range(40)] + [texts_ for texts_ in ["ann@x.org only"] * 2] + [None, ""]
+    held, near, said = defaultdict(set), defaultdict(set), defaultdict(set)
+    words = [[(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{4,}", t or "")] for t in texts]
+    values = [[(k, m.start(), m.end(), m[0]) for k, pattern in (("email", r"[a-z]+@x\.org"), ("ip", r"10\.1\.2\.[0-9]+")) for m in re.finditer(pattern, t or "")] for t in texts]
+    for i in range(len(texts)):
+        for _, _, w in words[i]:
+            said[w].add(i)
+        for k, a, b, v in values[i]:
+            held[k, v].add(i)
+            for c, d, w in words[i]:
+                if a - 64 <= c and d <= a or b <= c and d <= b + 64:
+                    near[k, v, w].add(i)
+    bad = set()
+    for (k, v, w), docs in near.items():
+        ic = np.log2(len(texts) / len(held[k, v]))
+        if len({texts[i] for i in docs}) >= 3 and ic + np.log2(min(1, len(docs) / len(said[w]))) >= 0.5 * ic:
+            bad.add((k, v, w))
+    docs = frame(spark, texts).withColumn("email", F.lit("clash")).withColumn("term", F.lit(1))
+    assert {w for _, _, w in bad} >= {"zanzibar"}
+    for r in pii.find(docs, ["doc_id", "email"]).collect():
+        want = {(a, b) for a, b, w in words[r.doc_id] for k, v in {(k, v) for k, _, _, v in values[r.doc_id]} if (k, v, w) in bad}
+        assert {(s.start, s.end) for s in r.term} == want, r
+    clean_ = {r.doc_id: r for r in pii.sanitise(docs.withColumnRenamed("source", "row")).collect()}
+    assert clean_[0].email == "clash" and "zanzibar" not in clean_[0].text and clean_[len(texts) - 1].text == ""
+
+
+def digest(spans):
+    kinds = list(spans)
+    each = sorted((a, kinds.index(k), k, b) for k in kinds for a, b in spans[k])
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in each).encode()).hexdigest()
+
+
+@pytest.mark.parametrize(("query", "want"), [(pii.op2_pii, PII), (secrets.op9_secrets, SECRETS)])
+def test_the_span_queries_equal_plain_search(spark, tmp_path, query, want):
+    texts = ODD + ["token = 4f9c2ab1e8d7c6b5a493"] * 3
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = query(spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        spans = {k: f(texts[r.doc_id]) for k, f in want.items()}
+        assert r.base_sha256 == digest(spans) and [r[f"n_{k}"] for k in want] == [len(v) for v in spans.values()]
+        assert set(filter(None, r.spans.split(","))) >= {f"{k}:{a}:{b}" for k in want for a, b in spans[k]}
+    frame(spark, []).write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert query(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_repositories_count_beside_owners(spark):
+    value = lambda i: f"token = '4f9c2ab1e8d7c6b5a{i:03}'"
+    held = {0: [("a", "r1")], 1: [("a", "r1"), ("a", "r2")], 2: [("a", f"r{i}") for i in range(3)], 3: [("a", f"r{i}") for i in range(4)], 4: [("a", "r1"), ("b", "r1")], 5: [("a", "r1"), ("b", "r1"), (None, None)], 6: [("a", "r1")] * 9}
+    rows = [(k, value(k), o, r) for k, places in held.items() for o, r in places]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, owner string, live string")
+    got = {(r.doc_id, bool(r.copied), bool(r.live)) for r in secrets.scan(docs, ["doc_id"], F.col("live"), F.col("owner")).collect()}
+    assert got == {(0, False, True), (1, False, True), (2, False, False), (3, True, False), (4, False, False), (5, True, False), (6, False, True)}
+    assert secrets.scan(docs.limit(0), ["doc_id"], F.col("live"), F.col("owner")).count() == 0
+    assert secrets.scan(docs, ["doc_id", "live"], F.col("live"), F.col("owner")).columns == ["doc_id", *secrets.KINDS, "copied", "live"]
+
+
 # ---- lines, shards, mixes
 
 def test_line_dedup_equals_brute_force(spark):
@@ -200,6 +295,17 @@ def test_line_dedup_equals_brute_force(spark):
         assert (r.n_lines, r.n_dropped, r.kept_text) == (len(own), len(own) - len(kept), "\n".join(kept))
 
 
+def test_line_dedup_of_odd_rows(spark):
+    line = "x" * 45
+    rows = [(1, line), (1, line), (1, f"other\n{line}"), (2, f"{line}\n{line}"), (3, f" {line.upper()} \na"), (4, line), (5, f"{line}\nb\n{line}"), (None, f"{line}\nc"), (6, None), (7, "\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("n_lines", "lost", "id", "t", "row")})
+    got = Counter((r.doc_id, r.kept_text, r.n_lines, r.n_dropped) for r in dedup_lines(docs).collect())
+    want = [(1, "", 1, 1), (1, "", 1, 1), (1, "other", 2, 1), (2, "", 2, 2), (3, "a", 2, 1), (4, "", 1, 1), (5, rows[6][1], 3, 0), (None, rows[7][1], 2, 0), (6, "", 1, 0), (7, "\n", 2, 0)]
+    assert got == Counter(want)
+    assert dedup_lines(docs).columns == ["doc_id", "text", "lost", "id", "t", "row", "kept_text", "n_lines", "n_dropped"]
+    assert dedup_lines(docs.limit(0)).count() == 0
+
+
 def test_shards_move_few_rows_and_slots_are_gapless(spark):
     docs = frame(spark, ["x"] * 4000 + [None] * 2, [*range(4000), None, None])
     rows = shard(docs.withColumn("_value", F.lit(1)).drop("_value"), rows_per_chunk=100).withColumn("grown", rendezvous(F.col("doc_id"), (1.0,) * 9)).collect()

@@ -4,7 +4,9 @@ The base finds e-mail addresses, IP addresses, payment cards and phone numbers.
 co-occurrence estimates how strongly a term beside a protected value e gives it away: with n() the
 documents of the whole corpus, PMI(t, e) = log2(n(t, e) N / (n(t) n(e))) is compared with the value's
 information content IC(e) = log2(N / n(e)). Terms with PMI >= ``generalise`` IC are replaced by a
-placeholder, those with PMI >= ``remove`` IC are removed. DataFrame functions only.
+placeholder, those with PMI >= ``remove`` IC are removed, wherever they stand in a document that holds the
+value. n(t, e) counts the documents in which t stands beside e, so PMI / IC tells how surely a document with
+t has e beside it. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textweave.llm.common import materialise
-from textweave.llm.spans import SPAN, joined, matches, ordered, replaced, valued
+from textweave.llm.spans import SPAN, first_from, joined, let, matches, ordered, replaced, valued
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive forms of the base patterns; a run is entered at its start or right after the last match.
@@ -61,73 +63,87 @@ def base_spans(text: Column) -> dict[str, Column]:
     return found
 
 
-def _beside(text: Column, span: Column, window: int, least: int) -> Column:
-    """Words of at least ``least`` letters within ``window`` code points of ``span``; none that the window cuts."""
-    low = F.greatest(span["start"] - window, F.lit(0))
-    before, after = F.substring(text, low + 1, span["start"] - low), F.substring(text, span["end"] + 1, F.lit(window))
-    more = F.length(text) > span["end"] + window
+def _terms(text: Column, least: int) -> Column:
+    """All words of at least ``least`` letters, case folded, by their place."""
+    return F.transform(matches(text, rf"(?<!\p{{L}})\p{{L}}{{{least},}}+", F.lit(True)), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lower(w["value"]).alias("value")))
 
-    def placed(part: Column, at: Column, whole) -> Column:
-        words = F.filter(matches(part, TERM, F.lit(True)), lambda w: (F.length(w["value"]) >= least) & whole(w))
-        return F.transform(words, lambda w: F.struct((w["start"] + at).alias("start"), (w["end"] + at).alias("end"), F.lower(w["value"]).alias("value")))
 
-    return F.concat(placed(before, low, lambda w: (w["start"] > 0) | (low == 0)), placed(after, span["end"], lambda w: (w["end"] < window) | ~more))
+def _beside(terms: Column, starts: Column, span: Column, window: int) -> Column:
+    """The distinct values of ``terms`` that stand wholly within ``window`` code points before or behind ``span``."""
+    low, high = first_from(starts, span["start"] - window), first_from(starts, span["end"] + window)
+    near = F.filter(F.slice(terms, low + 1, high - low), lambda t: (t["end"] <= span["start"]) | ((t["start"] >= span["end"]) & (t["end"] <= span["end"] + window)))
+    return F.array_distinct(F.transform(near, lambda t: t["value"]))
 
 
-def _tagged(kind: str) -> Column:
-    return F.transform(F.col(kind), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+def _entities(text: Column, window: int, least: int) -> Column:
+    """(entity, terms) of each base span: the value in a plain form with its kind, and the terms beside it."""
 
+    def tagged(kind: str) -> Column:
+        plain = {"email": F.lower, "ip": lambda v: v}.get(kind, _digits)
+        return F.transform(F.col(kind), lambda s: F.struct(F.concat(F.lit(f"{kind}:"), plain(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
 
-def find(
-    docs: DataFrame, keep: list[str], window: int = 64, least: int = 4, support: int = 3, generalise: float = 0.5, remove: float = 0.9, text_col: str = "text"
-) -> DataFrame:
-    """The columns ``keep`` of each row, with ``email``, ``ip``, ``card``, ``phone`` and ``term`` (arrays of (start, end, value)).
+    def told(terms: Column, starts: Column) -> Column:
+        return F.transform(F.concat(*[tagged(k) for k in KINDS]), lambda e: F.struct(e["entity"].alias("entity"), _beside(terms, starts, e, window).alias("terms")))
 
-    A term is a word of ``least`` letters or more (case folded) within ``window`` code points of a
-    protected value; it counts as found beside a value only if it is so in ``support`` different texts,
-    whatever the number of copies. All counts are over all rows of ``docs``. The value of a term span is
-    what replaces it: "[TERM]" or, if removed, "". Null text is empty text. Rows are never merged;
-    repeated rows stay.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(*keep, text.alias("_text"))
-    based = rows.select(*keep, "_text", *[c.alias(k) for k, c in base_spans(F.col("_text")).items()])
-    tagged = F.concat(*[_tagged(k) for k in KINDS])
-    plain = F.when(F.col("e.kind") == "email", F.lower("e.value")).when(F.col("e.kind") == "ip", F.col("e.value")).otherwise(_digits(F.col("e.value")))
-    beside = F.transform(tagged, lambda e: F.struct(e.alias("e"), _beside(F.col("_text"), e, window, least).alias("terms")))
+    return let(_terms(text, least), lambda terms: let(F.transform(terms, lambda t: t["start"]), lambda starts: told(terms, starts)))
+
+
+def _found(docs: DataFrame, window: int = 64, least: int = 4, support: int = 3, generalise: float = 0.5, remove: float = 0.9, text_col: str = "text") -> DataFrame:
+    """(row, found): each row as a struct, and its spans."""
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    based = rows.select("row", "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
     any_ = F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0
-    based = based.withColumn("_near", F.when(any_, beside)).withColumn("_print", F.xxhash64("_text")).drop("_text")
-    based = materialise(based.withColumn("_row", F.monotonically_increasing_id()))
-
-    near = based.filter("_near IS NOT NULL").select("_row", "_print", F.explode("_near").alias("_n")).select("_row", "_print", F.col("_n.e").alias("e"), "_n.terms")
-    near = near.withColumn("entity", F.concat_ws(":", "e.kind", plain)).select("_row", "_print", "entity", "terms")
-    by_entity = near.select("_row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    told = near.select("_row", "_print", "entity", F.explode("terms").alias("t")).select("_row", "_print", "entity", "t.*")
-    pairs = told.groupBy("entity", "value").agg(F.countDistinct("_row").alias("n_te"), F.countDistinct("_print").alias("texts")).filter(F.col("texts") >= support)
-    pairs = materialise(pairs.drop("texts").join(by_entity, "entity").withColumn("h", F.xxhash64("value")))
-
-    words = F.transform(F.regexp_extract_all(F.lower(F.col("_text")), F.lit(rf"\p{{L}}{{{least},}}"), F.lit(0)), lambda w: F.xxhash64(w))
-    said = rows.select(F.explode(F.array_distinct(words)).alias("h"))
-    counted = said.groupBy("h").agg(F.count(F.lit(1)).alias("n_t"))  # before the join: one row a word and task
+    based = based.withColumns({"near": F.when(any_, _entities(F.col("text"), window, least)), "print": F.xxhash64("text"), "text": F.when(any_, F.col("text"))})
+    based = materialise(based.withColumn("n", F.monotonically_increasing_id()))
+
+    held = based.filter("near IS NOT NULL")
+    near = held.select("n", "print", F.explode(F.col("near")).alias("e")).select("n", "print", "e.entity", "e.terms")
+    by_entity = near.select("n", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    told = near.select("n", "print", "entity", F.explode("terms").alias("value")).distinct()
+    # one row a document: how many documents, and how many different texts
+    pairs = told.groupBy("entity", "value", "print").agg(F.count(F.lit(1)).alias("c")).groupBy("entity", "value").agg(F.sum("c").alias("n_te"), F.count(F.lit(1)).alias("texts"))
+    pairs = materialise(pairs.filter(F.col("texts") >= support).drop("texts").join(by_entity, "entity").withColumn("h", F.xxhash64("value")))
+
+    words = F.transform(F.regexp_extract_all(F.lower(F.col("text")), F.lit(rf"\p{{L}}{{{least},}}"), F.lit(0)), lambda w: F.xxhash64(w))
+    counted = rows.select(F.explode(F.array_distinct(words)).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_t"))  # before the join: one row a word and task
     total = docs.count()
     shares = pairs.join(counted, "h").withColumn("ic", F.log2(F.lit(float(max(total, 1))) / F.col("n_e")))
     shares = shares.withColumn("pmi", F.col("ic") + F.log2(F.least(F.lit(1.0), F.col("n_te") / F.col("n_t"))))
     shares = shares.filter((F.col("ic") > 0) & (F.col("pmi") >= generalise * F.col("ic")))
     shares = shares.select("entity", "value", F.when(F.col("pmi") >= remove * F.col("ic"), "").otherwise("[TERM]").alias("instead"))
-    spans = told.join(shares, ["entity", "value"]).groupBy("_row", "start", "end").agg(F.min("instead").alias("value"))
-    spans = spans.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("term"))
-    out = based.join(spans, "_row", "left").withColumn("term", F.coalesce("term", F.array().cast(f"array<{SPAN}>")))
-    return out.select(*keep, *KINDS, "term")
+    reveal = told.select("n", "entity", "value").join(shares, ["entity", "value"]).groupBy("n", "value").agg(F.min("instead").alias("instead"))
+    places = held.select("n", F.explode(_terms(F.col("text"), least)).alias("t")).select("n", "t.start", "t.end", "t.value")
+    spans = places.join(reveal, ["n", "value"]).groupBy("n").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("instead").alias("value")))).alias("term"))
+    out = based.drop("near", "print", "text").join(spans, "n", "left").withColumn("term", F.coalesce("term", F.array().cast(f"array<{SPAN}>")))
+    return out.select("row", F.struct(*KINDS, "term").alias("found"))
+
+
+def find(docs: DataFrame, keep: list[str], text_col: str = "text", **options) -> DataFrame:
+    """The columns ``keep`` of each row, with ``email``, ``ip``, ``card``, ``phone`` and ``term`` (arrays of (start, end, value)).
+
+    A term is a word of ``least`` (4) letters or more (case folded) within ``window`` (64) code points of a
+    protected value in at least ``support`` (3) different texts, whatever the number of copies; window and
+    support are limits of the method, not of the data: terms farther off, and those of values that stand in
+    one or two texts, aren't judged. A term that reveals a value is a span wherever it stands in a document
+    with that value. All counts are over all rows of ``docs``. The value of a term span is what replaces
+    it: "[TERM]" or, if removed, "". Null text is empty text; an empty table gives an empty table. Rows are
+    never merged; repeated rows stay. A kept column that is named like one of the five gives way to it.
+    """
+    names = (*KINDS, "term")
+    slim = docs.select(*dict.fromkeys([*keep, text_col]))
+    return _found(slim, text_col=text_col, **options).select(*[F.col(f"row.`{c}`") for c in keep if c not in names], "found.*")
 
 
 def sanitise(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with protected values replaced by "[KIND]", and revealing terms generalised or removed, in ``text_col``."""
-    found = find(docs, docs.columns, text_col=text_col, **options)
-    masks = [valued(F.col(k), f"[{k.upper()}]") for k in KINDS]
-    return found.withColumn(text_col, replaced(F.col(text_col), F.concat(*masks, F.col("term")))).select(*docs.columns)
+    """``docs`` with protected values replaced by "[KIND]", and revealing terms generalised or removed, in ``text_col``; null text becomes empty, other columns stay, whatever their names."""
+    found = _found(docs, text_col=text_col, **options)
+    spans = F.concat(*[valued(F.col(f"found.{k}"), f"[{k.upper()}]") for k in KINDS], F.col("found.term"))
+    text = replaced(F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit("")), spans)
+    return found.select("row", text.alias("text")).select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:
+    """Each document's numbers of base spans, their digest, and all spans with those of terms; as ``find``."""
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), ["doc_id"])
     base = ordered(KINDS, [F.col(k) for k in KINDS])
     every = ordered((*KINDS, "term"), [F.col(k) for k in (*KINDS, "term")])
