@@ -33,12 +33,17 @@ POSITIONS, CHUNK, BINS = 32, 4, 1024
 BLOCK = 1024
 
 
+def _prints(sets: list[np.ndarray]) -> np.ndarray:
+    """128 bits of each set."""
+    return np.array([[s.sum(dtype=np.uint64), mixed(s ^ np.uint64(99)).sum(dtype=np.uint64)] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+
+
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, bounds in text_groups(batch.column(1)):
                 sets = list(shingle_sets(data, bounds, size))
-                prints = np.array([[s.sum(dtype=np.uint64), mixed(s ^ np.uint64(99)).sum(dtype=np.uint64)] for s in sets], np.uint64).view(np.int64)
+                prints = _prints(sets)
                 codes = min_hashes(sets, POSITIONS)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -66,8 +71,9 @@ def _sets(size: int, form):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, data, bounds in text_groups(batch.column(1)):
-                sets = [form(s) for s in shingle_sets(data, bounds, size)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.array(sets, pa.binary())], ["id", "set"])
+                sets = list(shingle_sets(data, bounds, size))
+                prints = _prints(sets)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(map(form, sets), pa.binary())], ["id", "f1", "f2", "set"])
 
     return run
 
@@ -152,13 +158,13 @@ def _plausible(percent: int):
 class _Linker:
     """The classes of one corpus, their index and the components so far."""
 
-    def __init__(self, texts: DataFrame, classes: DataFrame, size: int, percent: int):
-        self.texts, self.classes, self.size, self.percent = texts, classes, size, percent
-        keys = classes.select("id", "n", "signature").mapInArrow(_index_keys, "key long, id long, n long")
-        keys = materialise(keys.withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("_m > 1"))
-        prints = keys.groupBy("key").agg(F.max("_m").alias("_m"), F.expr("bit_xor(xxhash64(id))").alias("_x"), F.expr("bit_xor(xxhash64(7, id))").alias("_y"))
-        once = prints.groupBy("_m", "_x", "_y").agg(F.min("key").alias("key")).select("key")  # of keys with the same classes, one
-        self.keys = materialise(keys.drop("_m").join(once, "key", "left_semi"))
+    def __init__(self, texts: DataFrame, classes: DataFrame, size: int, percent: int, repeated: bool):
+        self.texts, self.classes, self.size, self.percent, self.repeated = texts, classes, size, percent, repeated
+        keys = materialise(classes.select("id", "n", "signature").mapInArrow(_index_keys, "key long, id long, n long"))
+        # by partial sums: a key's rows never meet in one task; of keys with the same classes one is enough
+        prints = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.expr("bit_xor(xxhash64(id))").alias("x"), F.expr("bit_xor(xxhash64(7, id))").alias("y"))
+        once = prints.filter("m > 1").groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key")
+        self.keys = materialise(keys.join(listed(once), "key", "left_semi"))
         self.roots: DataFrame | None = None
 
     def rooted(self) -> DataFrame:
@@ -167,21 +173,23 @@ class _Linker:
         known = self.roots.select(F.col("node").alias("id"), "root")
         return self.keys.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
-    def unsettled(self) -> DataFrame:
-        """The index without the keys whose classes are all in one component."""
-        w = Window.partitionBy("key")
-        return self.rooted().withColumns({"_l": F.min("root").over(w), "_h": F.max("root").over(w)}).filter("_l < _h").drop("_l", "_h")
+    def unsettled(self) -> tuple[DataFrame, DataFrame]:
+        """The index without the keys whose classes are all in one component; and of each other key the least class and the number of classes."""
+        rooted = self.rooted() if self.roots is None else materialise(self.rooted())
+        told = rooted.groupBy("key").agg(F.min(F.struct("id", "n", "root")).alias("hub"), F.count(F.lit(1)).alias("m"), F.min("root").alias("l"), F.max("root").alias("h"))
+        told = listed(told.filter("l < h").drop("l", "h"))
+        return rooted, told
 
     def star(self) -> DataFrame:
         """Each key's classes paired with the least of them."""
-        hub = F.min(F.struct("id", "n", "root")).over(Window.partitionBy("key"))
+        rooted, told = self.unsettled()
         fits = F.expr(f"100 * least(n, hub.n) >= {self.percent} * greatest(n, hub.n) AND root <> hub.root")
-        return self.unsettled().withColumn("hub", hub).filter(fits).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+        return rooted.join(told, "key").filter(fits).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
 
     def rest(self) -> DataFrame:
         """All plausible pairs between components under one key, by pairs of blocks of its classes."""
-        w = Window.partitionBy("key")
-        dealt = self.unsettled().withColumn("blocks", F.ceil(F.count(F.lit(1)).over(w) / BLOCK).cast("int"))
+        rooted, told = self.unsettled()
+        dealt = rooted.join(told, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
         dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("key", "id", "n", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
         dealt = materialise(dealt)
@@ -189,8 +197,11 @@ class _Linker:
         return with_bins.groupBy("key", "low", "high").applyInPandas(_plausible(self.percent), "a long, b long").distinct()
 
     def formed(self, ids: DataFrame, form) -> DataFrame:
-        """The sets of the named documents, made again from their texts. Names of checked number are broadcast; more are joined."""
-        return self.texts.join(listed(ids), "id", "left_semi").mapInArrow(_sets(self.size, form), "id long, set binary").dropDuplicates(["id"])
+        """The sets of the named classes, made again from the texts of their documents. Names of checked number are broadcast; more are joined."""
+        made = self.texts.join(listed(ids), "id", "left_semi").mapInArrow(_sets(self.size, form), "id long, f1 long, f2 long, set binary")
+        if self.repeated:
+            made = made.join(self.classes.select("id", "f1", "f2"), ["id", "f1", "f2"], "left_semi")
+        return made.drop("f1", "f2").dropDuplicates(["id"])
 
     def confirm(self, pairs: DataFrame) -> None:
         """Compare full sets and merge the components of pairs that are similar enough."""
@@ -221,16 +232,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     ``percent`` * union; a component's id is its least document id, and that document is kept. A text
     that is null, empty or blank has an empty set, is linked with nothing and is kept. Rows with a null
     id take no part: their component is null and they are not kept. Rows repeating an id and a text are
-    equal in the result; of different texts under one id the last by hash stands for it in comparisons.
-    Other columns are not read.
+    equal in the result; of different texts under one id the last by hash stands for it in comparisons, and
+    the others take the component of an equal set, if any. Other columns are not read. An empty table gives
+    an empty table.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = materialise(texts.mapInArrow(_signatures(size), "id long, n long, f1 long, f2 long, signature binary"))
     full = signed.filter("n > 0 AND id IS NOT NULL")
+    repeated = materialise(full.groupBy("id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("id"))
+    several = bool(repeated.limit(1).count())
+    if several:  # of the texts under one id the one whose hashes come last
+        again = listed(repeated)
+        last = F.max(F.struct("f1", "f2", "n", "signature")).alias("s")
+        single = full.join(again, "id", "left_semi").groupBy("id").agg(last).select("id", "s.n", "s.f1", "s.f2", "s.signature")
+        full = materialise(full.join(again, "id", "left_anti").unionByName(single))
     classes = full.groupBy("n", "f1", "f2").agg(F.min("id").alias("class"))
     classes = materialise(classes)
-    heads = materialise(full.join(classes.select("n", "f1", "f2", F.col("class").alias("id")), ["n", "f1", "f2", "id"], "left_semi").select("id", "n", "signature").dropDuplicates(["id"]))
-    linker = _Linker(texts, heads, size, percent)
+    heads = materialise(full.join(classes.select("n", "f1", "f2", F.col("class").alias("id")), ["n", "f1", "f2", "id"], "left_semi").select("id", "n", "f1", "f2", "signature").dropDuplicates(["id"]))
+    linker = _Linker(texts, heads, size, percent, several)
     linker.confirm(linker.star())
     linker.confirm(linker.rest())
     member = signed.select("id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left")
@@ -254,4 +273,5 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_c
 
 
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:
+    """Each document's component over links of 85 %, by shingles of three words; as ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textweave.llm.common import WORD, chunk_count, materialise, running_total
+from textweave.llm.spans import let
 
 
 def word_targets(words: dict[str | None, int], weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
@@ -85,23 +86,30 @@ def permuted(index: np.ndarray, size: np.ndarray, seed: np.ndarray) -> np.ndarra
     return out.astype(np.int64)
 
 
-def shard_draws(shard: int, shards: int, totals: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def shard_draws(shard: int, shards: int, totals: np.ndarray, seed: int, run: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """Slots of each source in one shard, and in all shards before it.
 
-    The shards' counts are multinomial draws given their sums ``totals``. Halving the range of shards
-    again and again, with a generator seeded by the range, lets any shard find its own counts alone.
+    The shards' counts are multinomial draws given their sums. Shards stand in runs of ``run``, and each run
+    has its even part of each source's ``totals``. Halving the range of shards of a run again and again,
+    with a generator seeded by the range, lets any shard find its own counts alone.
     """
-    all_slots = int(totals.sum())
-    bounds = lambda i: all_slots * i // shards
-    lo, hi, here, before = 0, shards, totals.astype(np.int64), np.zeros(len(totals), np.int64)
+
+    def up_to(i: int) -> np.ndarray:
+        """Slots of each source in the first ``i`` shards, where a run begins or ends: each source's own even part, made up to a whole number of slots."""
+        exact = [int(t) * i for t in totals]
+        low = np.array([x // shards for x in exact], np.int64)
+        short = int(totals.sum()) * i // shards - int(low.sum())
+        low[sorted(range(len(exact)), key=lambda k: (-(exact[k] % shards), k))[:short]] += 1
+        return low
+
+    bounds = lambda i: int(totals.sum()) * i // shards
+    lo = shard // run * run
+    hi = min(shards, lo + run)
+    before = up_to(lo)
+    here = up_to(hi) - before
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        n, left_n = bounds(hi) - bounds(lo), bounds(mid) - bounds(lo)
-        if n < 1_000_000_000:
-            left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(here, left_n, method="marginals")
-        else:  # beyond numpy's range a half's relative deviation is below 1e-4: take the expected counts
-            left = here * left_n // n
-            left[np.argsort(-(here * left_n % n), kind="stable")[: left_n - int(left.sum())]] += 1
+        left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(here, bounds(mid) - bounds(lo), method="marginals")
         if shard < mid:
             hi, here = mid, left
         else:
@@ -186,30 +194,34 @@ def mix_texts(docs: DataFrame, block_words: int = 128, rows_per_chunk: int = 50_
     """The mix itself: one row with the columns of ``docs`` for each document and pass over its source that takes words of it.
 
     ``text`` holds the words taken in that pass: the text as it is if they are all, else the taken words
-    with single spaces between them; ``n_chars`` is its length. Documents of which nothing is taken are
-    not in the mix. Repeated rows are rows of their own.
+    with single spaces between them; ``n_chars``, if there, is its length. Documents of which nothing is
+    taken, as those without words, are not in the mix. A null source is a source, null ids are ids.
+    Repeated rows are rows of their own; other columns stay, whatever their names. An empty table gives an
+    empty table.
     """
     names = [c for c in docs.columns if c not in ("text", "n_chars")]
-    keyed = docs.withColumn("_key", F.xxhash64(*[F.to_json(F.struct(F.col(c))) for c in names], F.col("text")))
-    sizes = materialise(keyed.select("doc_id", "source", "_key", word_count(F.col("text")).alias("size")))
-    again = bool(sizes.groupBy("_key").count().filter("count > 1").limit(1).count())
-    number = F.row_number().over(Window.partitionBy("_key").orderBy("_key")) if again else F.lit(1)
-    sizes, keyed = sizes.withColumn("_nth", number), keyed.withColumn("_nth", number)
+    content = [*[F.to_json(F.struct(F.col(c))) for c in names], F.col("text")]
+    # a row is known by 128 bits of its content, and by a number where rows are equal in all columns
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(*content).alias("a"), F.xxhash64(F.lit(1), *content).alias("b"))
+    sizes = materialise(keyed.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "a", "b", word_count(F.col("row.text")).alias("size")))
+    again = bool(sizes.groupBy("a", "b").count().filter("count > 1").limit(1).count())
+    number = F.row_number().over(Window.partitionBy("a", "b").orderBy("a")) if again else F.lit(1)
+    sizes, keyed = sizes.withColumn("nth", number), keyed.withColumn("nth", number)
     plans = plan_sources(source_words(sizes), block_words, **options)
     placed = materialise(_placed(sizes, plans, rows_per_chunk))
     uses = block_uses(placed, draw_slots(docs.sparkSession, plans, seed=seed))
     taken = uses.select("number", "first", "from_word", "words", F.explode("passes").alias("pass_")).groupBy("number", "first", "pass_")
-    taken = taken.agg(F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("_pieces"), F.sum("words").alias("_taken"))
-    rows = placed.filter("size > 0").join(taken, ["number", "first"]).select("_key", "_nth", "size", "_pieces", "_taken")
-    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
-    cut = F.flatten(F.transform("_pieces", lambda p: F.slice(F.col("_words"), (p["from_word"] + 1).cast("int"), p["words"].cast("int"))))
-    out = keyed.join(rows, ["_key", "_nth"]).withColumn("_words", F.when(F.col("_taken") < F.col("size"), words))
-    out = out.withColumn("text", F.when(F.col("_taken") < F.col("size"), F.array_join(cut, " ")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+    taken = taken.agg(F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("pieces"), F.sum("words").alias("taken"))
+    rows = placed.filter("size > 0").join(taken, ["number", "first"]).select("a", "b", "nth", "size", "pieces", "taken")
+    text = F.col("row.text")
+    part = let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda own: F.array_join(F.flatten(F.transform("pieces", lambda p: F.slice(own, (p["from_word"] + 1).cast("int"), p["words"].cast("int")))), " "))
+    out = keyed.join(rows, ["a", "b", "nth"]).select("row", F.when(F.col("taken") < F.col("size"), part).otherwise(text).alias("made"))
+    kinds = dict(docs.dtypes)
+    made = {"text": F.col("made"), "n_chars": F.length("made").cast(kinds.get("n_chars", "long"))}
+    return out.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
+    """Each document's size, its source's size and target, and the words that the mix takes of it; as ``mix``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     return mix(materialise(docs)).select("doc_id", "size", "source_size", "target", "taken")

@@ -114,6 +114,11 @@ def nearest(
     bad = F.exists(vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     sound = vectors.filter(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).filter(~bad & F.exists(vector_col, lambda x: x != 0))
     sound = sound.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), is_query.alias("asks"))
+    # cosines don't change with a vector's scale: one whose squares leave the range of doubles is scaled by a power of two
+    largest = F.array_max(F.transform("vector", lambda x: F.abs(x)))
+    far = (largest > 1e100) | (largest < 1e-100)
+    scale = F.pow(F.lit(2.0), -F.floor(F.log2(largest)))
+    sound = sound.withColumn("vector", F.when(far, F.transform("vector", lambda x: x * F.sqrt(scale) * F.sqrt(scale))).otherwise(F.col("vector")))
     sound = sound.withColumn("class", F.concat_ws(":", F.xxhash64("vector"), F.xxhash64(F.lit(1), "vector")))
     first = Window.partitionBy("class").orderBy("id")
     members = sound.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k + 1)
@@ -150,5 +155,6 @@ def nearest(
 
 
 def op10_nearest(spark, sf_dir: str) -> DataFrame:
+    """The 5 nearest of each vector whose id is divisible by 50; as ``nearest``."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(vectors, F.col("vec_id") % 50 == 0).select("query_id", "rank", F.col("vec_id").cast("long"), "score")

@@ -29,20 +29,21 @@ def rendezvous(key: Column, weights: Sequence[float], seed: int = 20) -> Column:
 
 
 def assign(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, key_col: str = "doc_id", seed: int = 20) -> DataFrame:
-    """Add ``shard`` alone: rows stay where they are, nothing is shuffled."""
+    """Add ``shard`` alone, in the place of a column of that name: rows stay where they are, nothing is shuffled."""
     return docs.withColumn("shard", rendezvous(F.col(key_col), weights, seed))
 
 
 def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, key_col: str = "doc_id", seed: int = 20, rows_per_chunk: int = 50_000) -> DataFrame:
-    """Add ``shard`` int, and ``slot`` long, the row's gapless place in its shard.
+    """Add ``shard`` int, and ``slot`` long, the row's gapless place in its shard, in the place of columns of these names.
 
     Places follow a hash of the key and then the key; rows with the same key are in one shard, side by
     side, in no fixed order among equal rows. Nulls in other columns don't matter. Numbering deals each
     shard over chunks of about ``rows_per_chunk`` rows, so no task holds a whole shard.
     """
-    dealt = assign(docs, weights, key_col, seed)
+    dealt = docs.select(F.struct("*").alias("row"), F.col(key_col).alias("key"))
     chunks = chunk_count(docs.count(), rows_per_chunk * len(weights))
-    return running_total(dealt, ["shard"], F.col(key_col), [F.col(key_col)], F.lit(1), chunks, "slot")
+    told = running_total(assign(dealt, weights, "key", seed), ["shard"], F.col("key"), [F.col("key")], F.lit(1), chunks, "slot")
+    return told.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
@@ -51,6 +52,7 @@ def write_shards(docs: DataFrame, path: str, **options) -> None:
 
 
 def op6_sharding(spark, sf_dir: str) -> DataFrame:
+    """Each document's size, checksum and shard of 8 by the law ``key``, its slot, and its shard of 9; as ``shard``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32")
     )

@@ -142,13 +142,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, turns: int = 40)
 def learn(labelled: DataFrame, sample_rows: int = 20_000, least_documents: int = 4, most_stems: int = 400) -> Model:
     """A model from (id, text, label).
 
-    The sample is the ``sample_rows`` rows that come first by a hash of the id; that bound is what keeps
-    fitting on one machine's scale, and nothing else is bounded. Stems are word beginnings of 4 to 9
-    letters (a shorter word counts as a whole) that toxic texts favour by a log-odds of 2 or more; of stems
-    that begin alike the most telling is taken. Rows without a label or text, and copies of a text, don't count.
+    The model is fitted on a bounded sample and has a bounded size; both bounds are parameters. The sample
+    is the ``sample_rows`` rows that come first by a hash of the id (with all that share the last one's id);
+    ids alone pass through one task, texts stay where they are. The model has the ``most_stems`` most
+    telling stems, chosen among ten times as many. Stems are word beginnings of 4 to 9 letters (a shorter
+    word counts as a whole) that toxic texts favour by a log-odds of 2 or more; of stems that begin alike
+    the most telling is taken. Rows without a label or text, and copies of a text, don't count.
     """
     rows = labelled.filter("label IS NOT NULL AND text IS NOT NULL").select("id", "text", F.col("label").cast("int").alias("label"))
-    rows = materialise(rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows)).dropDuplicates(["text"])
+    chosen = materialise(rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_rows))
+    rows = materialise(rows.join(F.broadcast(chosen), "id")).dropDuplicates(["text"])
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_']+"), F.lit(0)))
     said = rows.select("label", F.explode(words).alias("word")).groupBy("word").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
     begins = F.transform(F.sequence(F.lit(4), F.least(F.lit(9), F.greatest(F.lit(4), F.length("word")))), lambda n: F.substring("word", F.lit(1), n))
@@ -177,7 +180,7 @@ def _features_of(stems: dict[str, float]):
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` in 0 to 1. Each whole text is read, null and empty ones too; only the text counts."""
+    """``docs`` with ``score`` in 0 to 1, in the place of a column of that name. Each whole text is read, null and empty ones too; only the text counts."""
     stems, w = model.stems, np.array(model.coefficients or [-6.0, 1.0, 1.0, 1.0, 0.0])
 
     @F.pandas_udf("double")
@@ -195,13 +198,15 @@ def held_out(key: Column) -> Column:
 
 
 def train(spark, docs: DataFrame, sf_dir: str, sample_rows: int = 20_000) -> Model:
-    """From the labels that aren't held out, ``sample_rows`` of them at most: that many ids are broadcast to the texts, which stay where they are."""
+    """From the labels that aren't held out: ``sample_rows`` of their ids at most are broadcast to the texts."""
     labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
-    chosen = materialise(labels.filter("label IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(sample_rows))
-    return learn(docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id"), sample_rows)
+    chosen = labels.filter("label IS NOT NULL").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    labels = materialise(labels.filter("label IS NOT NULL").join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("label").alias("label")))
+    return learn(docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(labels), "id"), sample_rows)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Each document's score by a model that hasn't seen the held-out labels; a null id isn't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, train(spark, docs, sf_dir))
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
