@@ -1,5 +1,7 @@
 import io
 import json
+import sys
+import threading
 import zipfile
 
 import pandas as pd
@@ -9,9 +11,9 @@ from textweave import cli
 from textweave.engine import Engine, options_from
 from textweave.plans.options import BuildOptions
 from textweave.sources import codec, segments
-from textweave.sources.archive import read_zips
+from textweave.sources.archive import converted, read_zips
 from textweave.sources.storage import Store
-from textweave.sources.jsonl import parse_lines, read_jsonl
+from textweave.sources.jsonl import parse_lines, read_docids, read_jsonl
 from textweave.streaming.ingest import ingest_stream
 
 MAGIC = b"TEST"
@@ -81,6 +83,34 @@ def test_unsorted_postings_are_found(spark, tmp_path):
     rows = pd.DataFrame({"segment": "s", "h": [-1, 5], "did": [0, 0], "pos": [0, 1]})
     spark.createDataFrame(rows).coalesce(1).write.parquet(str(tmp_path / "bad"))  # -1 is the largest unsigned value
     assert unsorted_rows(spark.read.parquet(str(tmp_path / "bad"))) == 1
+    for k, hashes in enumerate(([1, 5], [3, 9], [10, 11])):  # each sorted, but the second begins within the first
+        spark.createDataFrame(pd.DataFrame({"segment": "s", "h": hashes, "did": 0, "pos": 0})).coalesce(1).write.parquet(str(tmp_path / f"files/{k}"))
+    assert unsorted_rows(spark.read.parquet(*[str(tmp_path / f"files/{k}") for k in range(3)])) == 1
+
+
+def test_writers_of_a_manifest_take_turns(spark, tmp_path):
+    root = str(tmp_path / "index")
+    with Store(spark).locked(f"{root}/x.lock"), pytest.raises(TimeoutError), Store(spark).locked(f"{root}/x.lock", wait_s=0.2):
+        pass
+    threads = [threading.Thread(target=segments.append_manifest, args=(spark, root, {"segment_name": f"s{i}", "path": "p"})) for i in range(8)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(e["segment_name"] for e in segments.load_manifest(spark, root)) == [f"s{i}" for i in range(8)]
+
+
+def test_listings_of_both_kinds(spark, tmp_path):
+    (tmp_path / "new.json").write_text('[{"doc_id":"a","external_id":"x"},\n7,{"doc_id":7},{"doc_id":"c"}]')
+    (tmp_path / "old.json").write_text('["a","b"]')
+    assert [(r.did, r.doc_id, r.external_id) for r in read_docids(spark, str(tmp_path / "new.json")).collect()] == [(0, "a", "x"), (3, "c", "")]
+    assert [(r.did, r.doc_id, r.meta_path) for r in read_docids(spark, str(tmp_path / "old.json")).collect()] == [(0, "a", ""), (1, "b", "")]
+
+
+def test_outside_converter():
+    command = [sys.executable, "-c", "import sys; open(sys.argv[2], 'w').write(open(sys.argv[1]).read().upper())", "{input}", "{output}"]
+    assert converted(b"some words", command) == "SOME WORDS"
+    assert converted(b"x", ["/nonexistent"]) is None and converted(b"x", [sys.executable, "-c", "pass"]) is None
 
 
 def test_engine_life(spark, tmp_path):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,11 +25,14 @@ from textweave.sources.storage import Store
 ISO = "%Y-%m-%dT%H:%M:%SZ"
 MAX_QUERY_BYTES = 256 << 10
 MAX_ARCHIVE_BYTES = 512 << 20
+#: Skipped files that an answer names; it tells the number of all.
+TOLD = 1000
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.store = spark, root.rstrip("/"), Store(spark)
+    def __init__(self, spark: SparkSession, root: str, converter: Sequence[str] | None = None):
+        """``converter``: a command for .doc files, as ``sources.archive.converted`` takes it."""
+        self.spark, self.root, self.store, self.converter = spark, root.rstrip("/"), Store(spark), converter
 
     def _org(self, org: str, part: str = "") -> str:
         return f"{self.root}/{G.checked_name(org)}" + (f"/{part}" if part else "")
@@ -47,6 +51,8 @@ class Engine:
 
     def ingest_zip(self, org: str, path: str, normalized: bool = True, segment: str | None = None, options: BuildOptions = BuildOptions()) -> dict:
         """Read archives, store originals and catalog rows, build one segment. ``normalized``: index texts as they are."""
+        if self.store.size(path) > MAX_ARCHIVE_BYTES:
+            raise ValueError(f"more than {MAX_ARCHIVE_BYTES} bytes uploaded")
         return self._ingest(org, A.read_zips(self.spark, path), normalized, segment, options)
 
     def ingest_files(self, org: str, path: str, normalized: bool = True, segment: str | None = None, options: BuildOptions = BuildOptions()) -> dict:
@@ -61,15 +67,16 @@ class Engine:
         if not stored.limit(1).count():
             self.store.delete(uploads)
             raise ValueError("no supported files")
-        texts = A.extract(stored)
+        texts = A.extract(stored, self.converter)
         named = texts.select("doc_id", F.col("path").alias("external_id"), F.col("path").alias("source_path"), F.element_at(F.split("path", "/"), -1).alias("source_name"), "text", "preview", "skipped")
         rows = named.filter("skipped IS NULL").select(F.lit(org).alias("org_id"), "doc_id", "external_id", "source_path", "source_name", F.lit(uploads).alias("stored_path"), "preview", F.lit(at).alias("created_at_utc"))
         self._put(org, rows)
         records = named.filter("skipped IS NULL AND text <> ''").withColumns({"organization_id": F.lit(org), "is_normalized": F.lit(normalized)})
         entry = G.build_segment(self.spark, records, self._org(org, "index"), name, options)
         self._put(org, K.update_last_segment(self.catalog(org), org, rows.select("doc_id"), name))
-        skipped = [r.asDict() for r in named.filter("skipped IS NOT NULL").select("external_id", "skipped").limit(1000).collect()]
-        return {**entry, "ingested": rows.count(), "skipped": skipped}
+        left_out = named.filter("skipped IS NOT NULL").select("external_id", "skipped")
+        told = [r.asDict() for r in left_out.orderBy("external_id").limit(TOLD).collect()]
+        return {**entry, "ingested": rows.count(), "skipped": told, "skipped_total": left_out.count() if len(told) == TOLD else len(told)}
 
     # ---- search and deletes
 
@@ -117,8 +124,15 @@ class Engine:
             raise LookupError(f"{key} isn't indexed")
         docs = self.spark.read.parquet(f"{self._org(org, 'index')}/{row['last_segment']}/docs")
         most = min(200_000, max(200, max_preview))
-        found = docs.filter(F.col("doc_id") == row["doc_id"]).withColumn("preview_text", utf8_prefix(F.col("preview_text"), most)).orderBy("did").limit(1).first()
-        return {"catalog": row.asDict(), "index": found.asDict() if found else None, "segment": entry}
+        found = docs.filter(F.col("doc_id") == row["doc_id"]).orderBy("did").limit(1).first()
+        preview = self.document_text(org, key, max_bytes=most)["text"]
+        return {"catalog": row.asDict(), "index": {**found.asDict(), "preview_text": preview} if found else None, "segment": entry}
+
+    def document_meta(self, org: str, segment: str, did: int) -> dict | None:
+        """The index row of a document by its number in a segment."""
+        docs = self.spark.read.parquet(f"{self._org(org, 'index')}/{G.checked_name(segment)}/docs")
+        found = docs.filter(F.col("did") == did).first()
+        return found.asDict() if found else None
 
     def document_text(self, org: str, key: str, normalized: bool = False, max_bytes: int = 8 << 20) -> dict:
         """The stored original's text, read again; ``truncated`` if it was cut to ``max_bytes`` (64 MiB at most)."""
@@ -126,7 +140,7 @@ class Engine:
         if row is None:
             raise KeyError(key)
         most = min(max(1, max_bytes), 64 << 20)
-        one = A.extract(self.spark.read.parquet(row["stored_path"]).filter(F.col("doc_id") == row["doc_id"]))
+        one = A.extract(self.spark.read.parquet(row["stored_path"]).filter(F.col("doc_id") == row["doc_id"]), self.converter)
         text = normalize(F.col("text")) if normalized else F.col("text")
         told = one.select(utf8_prefix(text, most).alias("text"), (F.octet_length(text) > most).alias("truncated")).first()
         return told.asDict()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textweave.functions.text import SHINGLE, unsigned_order
 
@@ -26,9 +27,10 @@ def violation_counts(postings: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def unsorted_rows(stored: DataFrame) -> int:
-    """Rows of a stored postings table that precede, in their file, a row they should follow."""
-    from pyspark.sql.window import Window
-
+    """Rows of a stored postings table that precede, in their file, a row they should follow, and files whose range reaches into that of another."""
     placed = stored.select(F.input_file_name().alias("_f"), F.monotonically_increasing_id().alias("_n"), unsigned_order(F.col("h")).alias("_h"), "did", "pos")
     order = F.struct("_h", "did", "pos")
-    return placed.withColumn("_prev", F.lag(order).over(Window.partitionBy("_f").orderBy("_n"))).filter(F.col("_prev") > order).count()
+    within = placed.withColumn("_prev", F.lag(order).over(Window.partitionBy("_f").orderBy("_n"))).filter(F.col("_prev") > order).count()
+    files = placed.groupBy("_f").agg(F.min(order).alias("low"), F.max(order).alias("high"))  # one row a file
+    before = F.max("high").over(Window.orderBy("low", "_f").rowsBetween(Window.unboundedPreceding, -1))
+    return within + files.withColumn("_before", before).filter(F.col("_before") > F.col("low")).count()

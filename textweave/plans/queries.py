@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -15,7 +17,8 @@ from textweave.operators import search as S
 from textweave.operators import validate as V
 from textweave.plans import oracle as Q
 from textweave.plans.options import BuildOptions, SearchOptions
-from textweave.sources.jsonl import parse_lines
+from textweave.sources.jsonl import parse_docids, parse_lines
+from textweave.sources.segments import build_segment, open_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,27 +101,38 @@ def token_fnv(spark, sf):
 
 
 _G = "11400714819323198485::UHUGEINT"
-_SHINGLE = f"""list_reduce(list_prepend({_G}, th), lambda h, t: xor(h, (t + {_G} + ((h * 64) % {_M}) + h // 4) % {_M}))"""
+_WORDS = f"""w0 AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) - 1 AS pos, len(t) AS n FROM (SELECT doc_id, {Q.toks('text')} AS t FROM documents)),
+hashed AS (SELECT doc_id, pos, n, h FROM w0 JOIN f USING (w))"""
 
 
-@query("shingle_hash", f"""WITH t AS (SELECT item_id, {Q.toks('text')} AS toks FROM benchmark),
-s AS (SELECT item_id, pos, list_transform(toks[pos + 1:pos + 9], lambda w: {_FNV}) AS th FROM (SELECT item_id, toks, unnest(range(0, len(toks) - 8)) AS pos FROM t))
-SELECT item_id, CAST(pos AS BIGINT) AS pos, lpad(lower(to_hex(({_SHINGLE})::UBIGINT)), 16, '0') AS h FROM s""")
+def _combined(column: int) -> str:
+    """The hash after ``column`` of the nine tokens t1 to t9, as a chain of subqueries."""
+    if not column:
+        return f"SELECT *, {_G} AS s FROM nine"
+    return f"SELECT * REPLACE (xor(s, (t{column} + {_G} + ((s * 64) % {_M}) + s // 4) % {_M}) AS s) FROM ({_combined(column - 1)})"
+
+
+_NINE = ", ".join(f"lead(h, {i}) OVER o AS t{i + 1}" for i in range(9))
+
+
+@query("shingle_hash", f"""WITH {_HASHED}, {_WORDS}, nine AS (SELECT doc_id, pos, {_NINE} FROM hashed WINDOW o AS (PARTITION BY doc_id ORDER BY pos) QUALIFY t9 IS NOT NULL)
+SELECT doc_id, CAST(pos AS BIGINT) AS pos, lpad(lower(to_hex(s::UBIGINT)), 16, '0') AS h FROM ({_combined(9)})""")
 def shingle_hash(spark, sf):
-    source = benchmark(spark, sf).select("qid", T.tokens(T.normalize(F.col("text"))).alias("toks")).filter(F.size("toks") >= 9)
-    exact = I.postings(source.withColumnRenamed("qid", "did"), F.lit("b"), BuildOptions(exact_hashes=True))
-    return exact.select(F.col("did").alias("item_id"), F.col("pos").cast("long"), T.unsigned_hex(F.col("h")).alias("h"))
+    """Every shingle of every document, bit by bit."""
+    exact = I.postings(I.prepare(I.spread(records(spark, sf))), F.lit("b"), BuildOptions(exact_hashes=True))
+    return exact.select(F.col("did").alias("doc_id"), F.col("pos").cast("long"), T.unsigned_hex(F.col("h")).alias("h"))
 
 
-@query("doc_simhash", f"""WITH t AS (SELECT item_id, unnest({Q.toks('text')}) AS w FROM benchmark), h AS (SELECT item_id, {_FNV} AS h FROM t),
-b AS (SELECT item_id, i, p, count(*) AS n, count(*) FILTER ((h // p) % 2 = 1) AS hi, count(*) FILTER ((xor(h, {T.SIMHASH_LOW_MASK + 2**64}::UHUGEINT) // p) % 2 = 1) AS lo
-  FROM h, (SELECT i, list_reduce(list_prepend(1::UHUGEINT, list_transform(range(0, i), lambda k: 2::UHUGEINT)), lambda a, c: a * c) AS p FROM range(0, 64) r(i)) GROUP BY item_id, i, p)
-SELECT item_id, lpad(lower(to_hex((sum(CASE WHEN 2 * hi > n THEN p::HUGEINT ELSE 0 END))::UBIGINT)), 16, '0') AS simhash_hi,
-  lpad(lower(to_hex((sum(CASE WHEN 2 * lo > n THEN p::HUGEINT ELSE 0 END))::UBIGINT)), 16, '0') AS simhash_lo FROM b GROUP BY item_id""")
+def _bits(low: bool) -> str:
+    votes = [f"(sum({'1 - ' if low and T.SIMHASH_LOW_MASK >> i & 1 else ''}(h // {1 << i}::UHUGEINT) % 2) * 2 > count(*))::INT::UHUGEINT * {1 << i}::UHUGEINT" for i in range(64)]
+    return f"lpad(lower(to_hex(({' + '.join(votes)})::UBIGINT)), 16, '0')"
+
+
+@query("doc_simhash", f"""WITH {_HASHED}, {_WORDS}
+SELECT doc_id, {_bits(False).replace("(h //", "(h::UHUGEINT //")} AS simhash_hi, {_bits(True).replace("1 - (h //", "1::HUGEINT - (h //")} AS simhash_lo FROM hashed WHERE n >= 9 GROUP BY doc_id""")
 def doc_simhash(spark, sf):
-    source = table(spark, sf, "benchmark").withColumns({"did": F.col("item_id"), "doc_id": F.col("item_id").cast("string"), "is_normalized": F.lit(False)} | {c: F.lit("") for c in EMPTY_STRINGS})
-    docs = I.documents(I.prepare(source), F.lit("b"))
-    return docs.select(F.col("did").alias("item_id"), T.unsigned_hex(F.col("simhash_hi")).alias("simhash_hi"), T.unsigned_hex(F.col("simhash_lo")).alias("simhash_lo"))
+    docs = I.documents(I.prepare(I.spread(records(spark, sf))), F.lit("b"))
+    return docs.select(F.col("did").alias("doc_id"), T.unsigned_hex(F.col("simhash_hi")).alias("simhash_hi"), T.unsigned_hex(F.col("simhash_lo")).alias("simhash_lo"))
 
 
 # ---- build side
@@ -336,13 +350,85 @@ def update_last_segment(spark, sf):
     return K.latest(K.upsert(rows, K.update_last_segment(rows, "src3", ids, "seg9"), 2)).select("doc_id", "last_segment")
 
 
-@query("validate_index", "SELECT * FROM (VALUES ('did_out_of_range', 0::BIGINT), ('tok_len_too_small', 0::BIGINT), ('pos_out_of_range', 0::BIGINT)) v(violation, n)")
+@query("validate_index", Q.full("""SELECT violation, CAST(n AS BIGINT) AS n FROM (
+  SELECT 'did_out_of_range' AS violation, count(*) FILTER (did % 97 = 0) AS n FROM p
+  UNION ALL SELECT 'pos_out_of_range', count(*) FILTER (did % 97 <> 0 AND pos + CASE WHEN did % 7 = 0 THEN 3 ELSE 0 END > CASE WHEN did % 89 = 0 THEN 8 ELSE tok_len END - 9) FROM p JOIN d USING (did)
+  UNION ALL SELECT 'tok_len_too_small', count(*) FILTER (did % 97 <> 0 AND did % 89 = 0) FROM d)""", Q.corpus(Q.DOCUMENTS)))
 def validate_index(spark, sf):
+    """Planted faults: documents left out, lengths of 8, positions moved on by 3."""
     postings, docs = index(records(spark, sf))
-    return V.violation_counts(postings, docs)
+    docs = docs.filter("did % 97 <> 0").withColumn("tok_len", F.when(F.col("did") % 89 == 0, 8).otherwise(F.col("tok_len")))
+    return V.violation_counts(postings.withColumn("pos", F.col("pos") + F.when(F.col("did") % 7 == 0, 3).otherwise(0)), docs)
+
 
+_HIGH = "".join(map(chr, range(0x80, 0x100)))
 
-@query("encoding_fallback")
+
+@query("encoding_fallback", f"SELECT doc_id, translate(regexp_replace(text, '[^\\x{{00}}-\\x{{FF}}]', '?', 'g'), '{_HIGH}', '{T.CP1251}') AS text FROM documents")
 def encoding_fallback(spark, sf):
-    latin = table(spark, sf, "documents").select("doc_id", F.encode(F.translate("text", "éèêç", "жзий"), "UTF-8").alias("data"))
-    return latin.select("doc_id", T.decode_text(F.col("data")).alias("text"))
+    """Texts as one byte a character: with an accented letter they aren't valid UTF-8 and are read as Windows-1251."""
+    data = F.encode(F.regexp_replace("text", r"[^\x00-\xFF]", "?"), "ISO-8859-1")
+    return table(spark, sf, "documents").select("doc_id", T.decode_text(data).alias("text"))
+
+
+@query("flag_resolution", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE doc_id % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN true ELSE true END AS by_default,
+  CASE doc_id % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN false ELSE true END AS if_strict FROM documents WHERE text <> ''""")
+def flag_resolution(spark, sf):
+    """The newer name before the older; what isn't a boolean is true; missing, it depends on strictness."""
+    flags = F.element_at(F.array(*map(F.lit, ('"text_is_normalized":true,"normalized":false', '"text_is_normalized":false,"normalized":true', '"text_is_normalized":"no"', '"normalized":false', '"other":false', '"normalized":7'))), (F.col("doc_id") % 6 + 1).cast("int"))
+    one = F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), "text"))
+    lines = table(spark, sf, "documents").select(F.concat(F.lit("{"), flags, F.lit(","), F.substring(one, F.lit(2), F.length(one))).alias("value"))
+    both = [parse_lines(lines, BuildOptions(strict_text_is_normalized=strict)).select("doc_id", F.col("is_normalized").alias(name)) for strict, name in ((False, "by_default"), (True, "if_strict"))]
+    return both[0].join(both[1], "doc_id")
+
+
+@query("external_ids", f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) ELSE lang END AS external_id, 'all/' AS meta_path FROM documents WHERE len({Q.toks('text')}) >= 9")
+def external_ids(spark, sf):
+    lang = table(spark, sf, "documents").select(F.col("doc_id").alias("did"), "lang")
+    source = records(spark, sf).drop("external_id").join(lang, "did").withColumn("external_id", F.when(F.col("did") % 3 == 0, "").otherwise(F.col("lang")))
+    return index(source)[1].select("doc_id", "external_id", "meta_path")
+
+
+_SPANS = "(SELECT qid, segment, did, string_agg(q_from || '-' || q_to || ':' || (q_from + delta) || '-' || (q_to + delta) || ':' || length, ',' ORDER BY span_rank) AS spans FROM kept GROUP BY qid, segment, did)"
+
+
+@query("hit_spans", _chain(f"SELECT qid, CAST(rank AS BIGINT) AS rank, doc_id, spans FROM top JOIN {_SPANS} USING (qid, segment, did)", TIGHT))
+def hit_spans(spark, sf):
+    """The spans of each hit, best first."""
+    text = F.transform("match_spans", lambda s: F.concat(s["q_from"], F.lit("-"), s["q_to"], F.lit(":"), s["d_from"], F.lit("-"), s["d_to"], F.lit(":"), s["length"]))
+    return _search(spark, sf, TIGHT).select("qid", F.col("rank").cast("long").alias("rank"), "doc_id", F.array_join(text, ",").alias("spans"))
+
+
+_HELD = """SELECT did, doc_id, text, segment FROM (SELECT doc_id AS did, CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 5 = 0 AND s = 's1' THEN coalesce(text, '') || ' one two three four five six seven eight nine' ELSE coalesce(text, '') END AS text, s AS segment
+  FROM documents, (VALUES ('s0'), ('s1'), ('s2')) v(s) WHERE doc_id % 3 <> CAST(s[2:] AS INT))"""
+
+
+@query("search_overlapping_segments", _chain(Q.HIT, replace(DEFAULT, topk=3), _HELD, segment="segment"))
+def search_overlapping_segments(spark, sf):
+    """Each document in two of three segments, some longer in one: the better hit stays, the earlier segment's if they are equal."""
+    source = records(spark, sf).withColumn("segment", F.explode(F.array(*map(F.lit, ("s0", "s1", "s2"))))).filter("did % 3 <> cast(substring(segment, 2) AS int)")
+    source = source.withColumn("text", F.when((F.col("did") % 5 == 0) & (F.col("segment") == "s1"), F.concat("text", F.lit(" one two three four five six seven eight nine"))).otherwise(F.col("text")))
+    return told(_search(spark, sf, replace(DEFAULT, topk=3), F.col("segment"), source=source))
+
+
+_NUMBERED = "SELECT row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) AS did, CAST(doc_id AS VARCHAR) AS doc_id, coalesce(text, '') AS text FROM documents"
+
+
+@query("stored_search", _chain(Q.HIT, source=_NUMBERED))
+def stored_search(spark, sf):
+    """A segment built, stored, opened again and searched. It goes to the session's checkpoint folder if one is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    root = f"{folder or tempfile.mkdtemp()}/index-{uuid.uuid4().hex}"
+    build_segment(spark, records(spark, sf).drop("did"), root, "all")
+    postings, docs, order, _ = open_index(spark, root)
+    return told(S.search(postings, docs, benchmark(spark, sf), segment_order=order))
+
+
+@query("docids_listing", """SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS BIGINT) AS did, CAST(doc_id AS VARCHAR) AS doc_id,
+  CASE WHEN lang IN ('en', 'fr') THEN source ELSE '' END AS external_id FROM documents""")
+def docids_listing(spark, sf):
+    """One listing a language: of objects for two of them, of plain ids for the others."""
+    docs = table(spark, sf, "documents").select("lang", "doc_id", F.struct(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("external_id")).alias("o"))
+    lists = docs.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", "o"))).alias("l"))
+    text = F.when(F.col("lang").isin("en", "fr"), F.to_json(F.transform("l", lambda x: x["o"]))).otherwise(F.to_json(F.transform("l", lambda x: x["doc_id"].cast("string"))))
+    return parse_docids(lists.select("lang", text.alias("value"))).select("lang", "did", "doc_id", "external_id")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import io
+import os
 import posixpath
 import re
+import subprocess
+import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -72,22 +75,47 @@ def docx_text(data: bytes) -> str | None:
     return "\n".join("".join(t.text or "" for t in p.iter(f"{_WORD}t")) for p in root.iter(f"{_WORD}p"))
 
 
+def converted(data: bytes, command: Sequence[str], seconds: float = 120.0) -> str | None:
+    """The text that an outside converter makes of a document, or None. {input}, {folder} and {output} in ``command`` stand for the document, its folder, and the text file to be made there."""
+    with tempfile.TemporaryDirectory() as folder:
+        paths = {"input": f"{folder}/document.doc", "folder": folder, "output": f"{folder}/document.txt"}
+        with open(paths["input"], "wb") as f:
+            f.write(data)
+        try:
+            subprocess.run([x.format(**paths) for x in command], check=True, timeout=seconds, capture_output=True)
+        except (OSError, subprocess.SubprocessError):
+            return None
+        if not os.path.exists(paths["output"]):
+            return None
+        with open(paths["output"], "rb") as f:
+            return f.read().decode("utf-8-sig", "replace")
+
+
 def _is(kind: str) -> Column:
     return extension(F.col("path")) == kind
 
 
-def extract(files: DataFrame) -> DataFrame:
+def extract(files: DataFrame, converter: Sequence[str] | None = None) -> DataFrame:
     """Files of supported kinds with ``text``, ``preview`` (240 bytes of it) and ``skipped``, the reason if there is no text.
 
     .txt is decoded as UTF-8 or else Windows-1251, .docx is read from its XML. .doc needs an outside
-    converter, which isn't at hand here: such files are skipped and said so.
+    ``converter``, a command as ``converted`` takes it, there on every executor; without one, or if it
+    fails, such files are skipped and said so.
     """
 
     @F.pandas_udf("string")
     def from_docx(data: pd.Series) -> pd.Series:
         return data.map(lambda x: docx_text(bytes(x)))
 
+    @F.pandas_udf("string")
+    def from_doc(data: pd.Series) -> pd.Series:
+        return data.map(lambda x: converted(bytes(x), converter) if len(x) else None)
+
+    def of(kind: str) -> Column:
+        return F.when(_is(kind), F.col("data")).otherwise(F.lit(b""))
+
     kept = files.filter(extension(F.col("path")).isin(*SUPPORTED))
-    text = F.when(_is(".txt"), decode_text(F.col("data"))).when(_is(".docx"), from_docx(F.when(_is(".docx"), F.col("data")).otherwise(F.lit(b""))))
+    text = F.when(_is(".txt"), decode_text(F.col("data"))).when(_is(".docx"), from_docx(of(".docx")))
+    text = text.when(_is(".doc"), from_doc(of(".doc"))) if converter else text
     out = kept.withColumn("text", text).withColumn("skipped", F.when(F.col("text").isNull(), "convert_failed_no_txt"))
     return out.withColumn("preview", utf8_prefix(F.coalesce("text", F.lit("")), 240)).drop("data")

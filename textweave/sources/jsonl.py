@@ -32,5 +32,32 @@ def parse_lines(lines: DataFrame, options: BuildOptions = BuildOptions()) -> Dat
     return out.filter("doc_id <> '' AND text <> ''").fillna("", list(STRINGS[2:]))
 
 
+DOCIDS = ("doc_id", "organization_id", "external_id", "source_path", "source_name", "meta_path", "preview_text")
+
+
+def parse_docids(listings: DataFrame) -> DataFrame:
+    """``value``, the JSON list of a segment's documents, to a row for each: its place ``did``, and what is said of it.
+
+    A list holds objects, or in the older form plain ids; the first element tells which. An element of
+    another kind has no row, and the others keep their places. Missing fields are empty. Other columns stay.
+    """
+    others = [c for c in listings.columns if c != "value"]
+    each = listings.select(*others, F.from_json("value", "array<variant>").alias("_l"))
+    each = each.select(*others, (F.schema_of_variant(F.get("_l", F.lit(0))) == "STRING").alias("_old"), F.posexplode("_l").alias("_did", "_v"))
+
+    def said(name: str):
+        v = F.try_variant_get("_v", f"$.{name}", "variant")
+        field = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get("_v", f"$.{name}", "string"))
+        plain = F.when(F.schema_of_variant("_v") == "STRING", F.try_variant_get("_v", "$", "string")) if name == "doc_id" else F.lit("")
+        return F.coalesce(F.when(F.col("_old"), plain).otherwise(field), F.lit(""))
+
+    return each.select(*others, F.col("_did").cast("long").alias("did"), *[said(c).alias(c) for c in DOCIDS]).filter("doc_id <> ''")
+
+
+def read_docids(spark: SparkSession, path: str) -> DataFrame:
+    """The documents listed in a file."""
+    return parse_docids(spark.read.text(path, wholetext=True))
+
+
 def read_jsonl(spark: SparkSession, path: str, options: BuildOptions = BuildOptions()) -> DataFrame:
     return parse_lines(spark.read.text(path), options)

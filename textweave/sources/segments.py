@@ -42,12 +42,13 @@ def load_manifest(spark: SparkSession, root: str) -> list[dict]:
 
 
 def append_manifest(spark: SparkSession, root: str, entry: dict) -> None:
-    """Other keys of the manifest stay as they are."""
+    """Other keys of the manifest stay as they are. Writers take turns."""
     store = Store(spark)
-    manifest = store.read_json(f"{root}/manifest.json")
-    held = manifest.get("segments")
-    manifest["segments"] = [*(held if isinstance(held, list) else []), entry]
-    store.write(f"{root}/manifest.json", json.dumps(manifest))
+    with store.locked(f"{root}/manifest.lock"):
+        manifest = store.read_json(f"{root}/manifest.json")
+        held = manifest.get("segments")
+        manifest["segments"] = [*(held if isinstance(held, list) else []), entry]
+        store.write(f"{root}/manifest.json", json.dumps(manifest))
 
 
 def _numbered(spark: SparkSession, records: DataFrame, options: BuildOptions, staging: str) -> DataFrame:

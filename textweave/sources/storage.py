@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -52,6 +57,42 @@ class Store:
             if not self.rename(aside, path):
                 raise OSError(f"can't replace {path}")
 
+    def size(self, path: str) -> int:
+        """Bytes of all files at ``path``, which may hold wildcards."""
+        fs, p = self._at(path)
+        return sum(fs.getContentSummary(s.getPath()).getLength() for s in (fs.globStatus(p) or []))
+
+    def _make_new(self, path: str) -> bool:
+        """Make an empty file; False if it is there. Of several makers one succeeds: local files are made by the system's exclusive call, which Hadoop's local file system lacks."""
+        fs, p = self._at(path)
+        try:
+            if fs.getScheme() == "file":
+                local = p.toUri().getPath()
+                os.makedirs(os.path.dirname(local), exist_ok=True)
+                os.close(os.open(local, os.O_CREAT | os.O_EXCL))
+            else:
+                fs.create(p, False).close()
+        except FileExistsError:
+            return False
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
+    @contextmanager
+    def locked(self, path: str, wait_s: float = 60.0) -> Iterator[None]:
+        """Hold ``path`` as a lock file: whoever makes it has the lock. One left behind by a dead writer must be deleted by hand."""
+        until = time.monotonic() + wait_s
+        while not self._make_new(path):
+            if time.monotonic() > until:
+                raise TimeoutError(f"{path} is held")
+            time.sleep(0.05)
+        try:
+            yield
+        finally:
+            self.delete(path)
+
     def read_json(self, path: str) -> dict:
         """An empty object if the file is missing or isn't a JSON object."""
         try:
