@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from textweave.llm import mixing, pii, secrets
@@ -14,7 +15,7 @@ from textweave.llm.decontaminate import BROADCAST_ROWS, LEAST_RUN, LEAST_SHARE,
 from textweave.llm.line_dedup import dedup_lines
 from textweave.llm.minhash_dedup import drop_near_duplicates, near_duplicates
 from textweave.llm.nearest import nearest
-from textweave.llm.sharding import rendezvous, shard
+from textweave.llm.sharding import op6_sharding, rendezvous, shard
 from textweave.llm.spans import SPAN, first_from, joined, ordered, replaced, running
 from textweave.llm.toxicity import compose, grammar, held_out, learn, score
 
@@ -537,5 +538,56 @@ def test_nearest_recall_and_odd_vectors(spark):
     assert nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_nearest_of_vectors_out_of_scale(spark):
+    vectors = [[1e200, 1e200], [1e200, 0.0], [1.0, 1.0], [3e-310, 0.0], [-1e308, -1e308]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = {r["rank"]: (r.vec_id, r.score) for r in nearest(df, F.col("vec_id") == 0).collect()}
+    assert [got[k][0] for k in (1, 2, 3, 4)] == [2, 1, 3, 4]
+    assert [got[k][1] for k in (1, 2, 3, 4)] == pytest.approx([1.0, 0.5**0.5, 0.5**0.5, -1.0], abs=1e-12)
+
+
+def test_the_sharding_query_by_hand(spark, tmp_path):
+    def hashed(*values):
+        seed = 42
+        for size, v in values:
+            seed = xxhash.xxh64_intdigest((v % 2 ** (8 * size)).to_bytes(size, "little"), seed)
+        return seed
+
+    def place(key, shards):
+        score = {}
+        for k in range(shards):
+            u = ((hashed((4, 20), (4, k), (8, hashed((8, key))), (8, key)) >> 12) + 0.5) / 2**52
+            score[k] = 1 / -np.log(u)
+        return max(score, key=lambda k: (score[k], k))
+
+    texts = ["é" * (i % 7) if i % 5 else None for i in range(300)]
+    frame(spark, texts, [i * 7919 - 1000 for i in range(300)]).write.parquet(str(tmp_path / "documents.parquet"))
+    rows, ids = op6_sharding(spark, str(tmp_path)).collect(), {i * 7919 - 1000: t for i, t in enumerate(texts)}
+    for r in rows:
+        data = (ids[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.shard, r.grown_shard) == (len(data) + 1, zlib.crc32(data), "key", place(r.doc_id, 8), place(r.doc_id, 9))
+    for k in range(8):
+        assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
+
+
+def test_columns_of_clashing_names_stay(spark):
+    docs = frame(spark, ["a b c", "d e", "a b c"]).withColumns({c: F.lit("clash") for c in ("size", "number", "first", "row", "a", "nth", "key", "pieces", "made")})
+    mixed = mixing.mix_texts(docs)
+    assert mixed.columns == docs.columns and all(r["size"] == r.made == "clash" for r in mixed.collect())
+    dealt = shard(docs.withColumns({"slot": F.lit("x"), "shard": F.lit("y")}))
+    assert dealt.columns == [*docs.columns, "shard", "slot"] and {r.key for r in dealt.collect()} == {"clash"}
+
+
+def test_runs_of_shards_have_their_even_parts():
+    totals, before = np.array([1000, 0, 37, 5003]), np.zeros(4, int)
+    for s in range(50):
+        here, seen = mixing.shard_draws(s, 50, totals, 1, run=8)
+        assert (seen == before).all() and here.sum() == 6040 * (s + 1) // 50 - 6040 * s // 50
+        before = before + here
+        if s % 8 == 7:
+            assert np.abs(before - totals * (s + 1) / 50).max() <= 1
+    assert (before == totals).all()
+
+
 def test_digests_are_plain():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442") and zlib.crc32(b"") == 0

@@ -117,8 +117,10 @@ def nearest(
     # cosines don't change with a vector's scale: one whose squares leave the range of doubles is scaled by a power of two
     largest = F.array_max(F.transform("vector", lambda x: F.abs(x)))
     far = (largest > 1e100) | (largest < 1e-100)
-    scale = F.pow(F.lit(2.0), -F.floor(F.log2(largest)))
-    sound = sound.withColumn("vector", F.when(far, F.transform("vector", lambda x: x * F.sqrt(scale) * F.sqrt(scale))).otherwise(F.col("vector")))
+    power = F.floor(F.log2(largest))
+    half = F.floor(power / 2)  # in two steps, as one factor may be out of range itself
+    scaled = F.transform("vector", lambda x: x * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - power))
+    sound = sound.withColumn("vector", F.when(far, scaled).otherwise(F.col("vector")))
     sound = sound.withColumn("class", F.concat_ws(":", F.xxhash64("vector"), F.xxhash64(F.lit(1), "vector")))
     first = Window.partitionBy("class").orderBy("id")
     members = sound.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k + 1)
