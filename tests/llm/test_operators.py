@@ -538,6 +538,14 @@ def test_nearest_recall_and_odd_vectors(spark):
     assert nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_nearest_is_alike_whatever_the_blocks(spark):
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(300, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    told = [{(r.query_id, r["rank"]): (r.vec_id, r.score) for r in nearest(df, F.col("vec_id") % 50 == 0, block_rows=n).collect()} for n in (7, 4096)]
+    assert told[0] == told[1] and len(told[0]) == 30
+
+
 def test_nearest_of_vectors_out_of_scale(spark):
     vectors = [[1e200, 1e200], [1e200, 0.0], [1.0, 1.0], [3e-310, 0.0], [-1e308, -1e308]]
     df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")

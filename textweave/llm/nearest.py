@@ -3,9 +3,11 @@
 Vectors are scaled to unit length, where the order by Euclidean distance is the order by cosine. A table
 hashes a vector to floor((a_i . v + b_i) / w) for ``functions`` Gaussian (2-stable) directions a_i. A query
 visits its own bucket and then perturbed ones, in the order of their estimated success: the sum of the
-squared distances from the query's projections to the borders that the perturbation crosses. In a visited
-bucket the query meets one block of vectors after another as a matrix product; each block gives its
-nearest few, and the candidates of all buckets and tables are merged and ranked by exact cosine.
+squared distances from the query's projections to the borders that the perturbation crosses. Visits are
+ids; small buckets share a cell and large ones are dealt over blocks, and a query's vector travels once to
+each block that holds buckets it visits. There it meets these buckets' vectors, and no others, as matrix
+products; each block gives its nearest few, and the candidates of all blocks and tables are merged and
+ranked by exact cosine.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textweave.llm.common import materialise, table
+from textweave.llm.common import chunk_count, listed, materialise, table
 
 
 def probes(down: np.ndarray, width: float, count: int) -> list[tuple[tuple[int, int], ...]]:
@@ -49,7 +51,7 @@ def _units(vectors: pd.Series) -> np.ndarray:
 
 
 def _hashed(tables: int, functions: int, width: float, count: int):
-    """Buckets of each vector: its own if ``count`` is 1, else those that a query visits."""
+    """Buckets of each vector: its own if ``count`` is 1, else those that a query visits. Ids only, no vectors."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -67,46 +69,57 @@ def _hashed(tables: int, functions: int, width: float, count: int):
                                 y[j] += step
                             rows.append(i)
                             of.append(t)
-                            names.append(f"{dim}:" + ",".join(map(str, y)))
+                            names.append(",".join(map(str, y)))
                 named = pd.Series(part["class"].to_numpy(dtype=object)[rows], dtype=object)
-                yield pd.DataFrame({"class": named, "vector": part["vector"].to_numpy()[rows], "of": of, "bucket": pd.Series(names, dtype=object)})
+                yield pd.DataFrame({"class": named, "dim": int(dim), "of": of, "bucket": pd.Series(names, dtype=object)})
 
     return run
 
 
 def _nearest(k: int):
-    """The k nearest classes of each query within one block of a bucket, with all that tie with the last."""
+    """The k nearest classes of each query within the buckets of one block that it visits, with all that tie with the last."""
 
     def run(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         out = {"query": [], "class": [], "score": []}
         if len(queries) and len(block):
             base, ids = np.stack(block["vector"].to_numpy()).astype(np.float64), block["class"].to_numpy()
             base_norms = np.sqrt((base * base).sum(1))
-            for start in range(0, len(queries), 512):
-                part = queries.iloc[start : start + 512]
-                q = np.stack(part["vector"].to_numpy()).astype(np.float64)
-                rough = (q @ base.T) / base_norms
-                norms = np.sqrt((q * q).sum(1))
-                last = -np.partition(-rough, k - 1, axis=1)[:, k - 1] if rough.shape[1] > k else np.full(len(q), -np.inf)
-                for i, name in enumerate(part["class"]):
-                    j = np.flatnonzero(rough[i] >= last[i] - 1e-9 * norms[i])
-                    exact = (q[i] * base[j]).sum(1) / (norms[i] * base_norms[j])
+            asked = np.stack(queries["vector"].to_numpy()).astype(np.float64)
+            norms = np.sqrt((asked * asked).sum(1))
+            visits = queries["buckets"].reset_index(drop=True).explode()
+            askers = visits.groupby(visits).groups
+            found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(len(asked))]
+            for bucket, here in block.reset_index(drop=True).groupby("bucket").indices.items():
+                who = np.asarray(askers.get(bucket, ()), dtype=np.int64)
+                for start in range(0, len(who), 512):
+                    part = who[start : start + 512]
+                    rough = (asked[part] @ base[here].T) / base_norms[here]
+                    last = -np.partition(-rough, k - 1, axis=1)[:, k - 1] if rough.shape[1] > k else np.full(len(part), -np.inf)
+                    for i, one in enumerate(part):
+                        j = here[rough[i] >= last[i] - 1e-9 * norms[one]]
+                        found[one].append((j, (asked[one] * base[j]).sum(1) / (norms[one] * base_norms[j])))
+            for name, parts in zip(queries["class"], found):
+                if parts:
+                    j, scores = (np.concatenate(x) for x in zip(*parts))
+                    if len(j) > k:
+                        best = scores >= -np.partition(-scores, k - 1)[k - 1]
+                        j, scores = j[best], scores[best]
                     out["query"] += [name] * len(j)
                     out["class"] += ids[j].tolist()
-                    out["score"] += exact.tolist()
+                    out["score"] += scores.tolist()
         return pd.DataFrame({c: pd.Series(v, dtype=float if c == "score" else object) for c, v in out.items()})
 
     return run
 
 
 def nearest(
-    vectors: DataFrame, is_query, k: int = 5, tables: int = 3, functions: int = 5, width: float = 2.0, visits: int = 64, block_rows: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, is_query, k: int = 5, tables: int = 3, functions: int = 5, width: float = 2.0, visits: int = 64, block_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, id, score) of the ``k`` nearest found for each row for which ``is_query`` holds, among all other rows.
 
     Equal vectors are hashed and searched once, whatever their number: of a group of copies only the k + 1
     least ids can be in any result, and these are kept. A bucket of more than ``block_rows``
-    vectors is dealt over blocks of about that size. A query for which the visited buckets hold fewer than k + 1 rows visits every
+    vectors is dealt over blocks of about that size; smaller ones share cells of about as many. A query for which the visited buckets hold fewer than k + 1 rows visits every
     bucket of the first table, hence finds k whenever there are k. Vectors that are null, zero, or hold
     null or non-finite components take no part; those of another length are not compared. Ties go to
     the smaller id. A repeated id is a row of its own.
@@ -127,27 +140,34 @@ def nearest(
     classes = materialise(members.groupBy("class").agg(F.first("vector").alias("vector"), F.sort_array(F.collect_list("id")).alias("ids")))
     asking = materialise(sound.filter("asks").select("id", "class"))
     queries = classes.join(asking.select("class").distinct(), "class", "left_semi").select("class", "vector")
-    shape = "class string, vector array<double>, of int, bucket string"
-    base = classes.select("class", "vector").mapInPandas(_hashed(tables, functions, width, 1), shape)
-    base = materialise(base)
-    there = base.groupBy("of", "bucket").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    there = materialise(there)
-    base = base.join(there, ["of", "bucket"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).drop("blocks")
-    visiting = queries.mapInPandas(_hashed(tables, functions, width, visits), shape)
+    shape = "class string, dim int, of int, bucket string"
+
+    def hashed(rows: DataFrame, count: int) -> DataFrame:
+        named = rows.select("class", "vector").mapInPandas(_hashed(tables, functions, width, count), shape)
+        return named.withColumn("bucket", F.xxhash64("bucket"))  # should two names fall together, both are visited
+
+    base = materialise(hashed(classes, 1))
+    cells = chunk_count(classes.count(), block_rows)
+    there = base.groupBy("dim", "of", "bucket").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    there = listed(there.withColumn("cell", F.pmod(F.xxhash64(F.lit(5), "bucket"), F.lit(cells)).cast("int")))
+    place = ["dim", "of", "cell", "block"]
+    base = base.join(there, ["dim", "of", "bucket"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    base = base.select("class", "bucket", *place).join(classes.select("class", "vector"), "class")
 
     def search(visiting: DataFrame) -> DataFrame:
-        """Only (bucket, block) pairs that exist are visited."""
-        placed = visiting.join(there, ["of", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        found = placed.groupBy("of", "bucket", "block").cogroup(base.groupBy("of", "bucket", "block")).applyInPandas(_nearest(k + 1), "query string, class string, score double")
+        """Only (bucket, block) pairs that exist are visited. The vectors of queries join once a block."""
+        placed = visiting.join(there, ["dim", "of", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        placed = placed.groupBy("class", *place).agg(F.collect_list("bucket").alias("buckets")).join(queries, "class")
+        found = placed.groupBy(*place).cogroup(base.groupBy(*place)).applyInPandas(_nearest(k + 1), "query string, class string, score double")
         found = found.distinct().withColumn("_r", F.rank().over(Window.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("_r") <= k + 1)
         return materialise(found.drop("_r").join(classes.select("class", "ids"), "class"))
 
-    found = search(visiting)
+    found = search(hashed(queries, visits))
     enough = found.groupBy("query").agg(F.sum(F.size("ids")).alias("n")).filter(F.col("n") > k).select(F.col("query").alias("class"))
     short = materialise(queries.join(enough, "class", "left_anti"))
     if short.limit(1).count() and classes.limit(2).count():
-        everywhere = there.filter("of = 0").select(F.col("of").alias("of"), F.col("bucket").alias("bucket"), F.expr("split(bucket, ':')[0]").alias("dim"))
-        all_of = short.withColumn("dim", F.size("vector").cast("string")).join(everywhere, "dim").select("class", "vector", "of", "bucket")
+        everywhere = there.filter("of = 0").select(*[F.col(c).alias(c) for c in ("dim", "of", "bucket")])
+        all_of = short.select("class", F.size("vector").alias("dim")).join(everywhere, "dim")
         rest = search(all_of)
         found = found.join(short.select(F.col("class").alias("query")), "query", "left_anti").unionByName(rest)
     own = asking.select(F.col("id").alias("query_id"), F.col("class").alias("query"))
