@@ -173,7 +173,7 @@ def block_uses(placed: DataFrame, slots: DataFrame) -> DataFrame:
     return pieces.join(taken.hint("merge"), ["number", "block"])  # slots come from a short range of shards and look small to the planner
 
 
-def mix(docs: DataFrame, block_words: int = 128, rows_per_chunk: int = 50_000, seed: int = 7, **options) -> DataFrame:
+def mix(docs: DataFrame, block_words: int = 128, rows_per_chunk: int = 8_192, seed: int = 7, **options) -> DataFrame:
     """For each row of ``docs`` (doc_id, source, size in words): ``source_size``, ``target`` (of its source, words) and ``taken`` (words of it in the mix, repeats counted).
 
     Null sources are one source, last in order. Rows of size 0 are returned with nothing taken. A block
@@ -190,7 +190,7 @@ def mix(docs: DataFrame, block_words: int = 128, rows_per_chunk: int = 50_000, s
     return sized.select(*columns, "taken").unionByName(empty)
 
 
-def mix_texts(docs: DataFrame, block_words: int = 128, rows_per_chunk: int = 50_000, seed: int = 7, **options) -> DataFrame:
+def mix_texts(docs: DataFrame, block_words: int = 128, rows_per_chunk: int = 8_192, seed: int = 7, **options) -> DataFrame:
     """The mix itself: one row with the columns of ``docs`` for each document and pass over its source that takes words of it.
 
     ``text`` holds the words taken in that pass: the text as it is if they are all, else the taken words
