@@ -5,6 +5,7 @@ import model
 import pytest
 from pyspark.sql import functions as F
 
+from textweave.functions import text as T
 from textweave.operators import index as I
 from textweave.operators import search as S
 from textweave.operators.validate import violation_counts
@@ -91,3 +92,30 @@ def test_violations_are_counted(spark):
     bad = postings.unionByName(postings.withColumn("did", F.lit(9).cast("long"))).unionByName(postings.limit(1).withColumn("pos", F.lit(4)))
     counts = {r.violation: r.n for r in violation_counts(bad, docs.withColumn("tok_len", F.col("tok_len"))).collect()}
     assert counts == {"did_out_of_range": 4, "pos_out_of_range": 1, "tok_len_too_small": 0}
+
+
+def test_texts_are_split_once_and_matches_made_once(spark):
+    """Each further pass over the texts or over the postings of an index costs as much as the whole search."""
+    rows = spark.createDataFrame([(i, str(i), " ".join(f"w{i * j}" for j in range(30)), False) for i in range(20)], "did long, doc_id string, text string, is_normalized boolean")
+    records = rows.withColumns({c: F.lit("") for c in STRINGS})
+    postings = I.postings(I.tokenized(records), F.lit("s"))
+    assert postings._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(r):
+        read.add(1)
+        return r
+
+    held = spark.createDataFrame(postings.rdd.map(seen), postings.schema)
+    docs = I.documents(I.prepare(records), F.lit("s"), simhash=False)
+    n = postings.count()
+    hits = S.search(held, docs, records.filter("did < 3").select(F.col("did").alias("qid"), "text"), replace(SearchOptions(), topk=1))
+    assert sorted((r.qid, r.doc_id) for r in hits.collect()) == [(0, "0"), (1, "1"), (2, "2")]
+    assert read.value == n
+
+
+def test_starts_of_shingles_have_strides_and_ends(spark):
+    rows = spark.createDataFrame([(0, [f"w{i}" for i in range(14)]), (1, ["a"] * 8), (2, []), (3, None), (4, ["b"] * 9)], "i int, t array<string>")
+    for stride, most, want in ((1, 2**31 - 1, [0, 1, 2, 3, 4, 5]), (2, 2**31 - 1, [0, 2, 4]), (4, 9, [0, 4]), (3, 1, [0])):
+        keys = T.shingle_keys(rows, F.col("t"), "i", stride=stride, most=most).collect()
+        assert sorted((r.i, r.pos) for r in keys) == [*((0, p) for p in want), (4, 0)]
