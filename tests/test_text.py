@@ -1,9 +1,11 @@
 import random
 
 import model
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textweave.functions import text as T
+from textweave.functions.portable import hashed_shingles
 from textweave.plans.options import parse_bool
 from textweave.sources.archive import safe_entry_name
 
@@ -60,3 +62,19 @@ def test_entry_names():
 
 def test_parse_bool():
     assert parse_bool(" YES ", False) and parse_bool("?", True) and not parse_bool("off", True) and not parse_bool(None, False)
+
+
+def test_portable_hashes_of_batches_follow_the_model():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abя日0") for _ in range(rng.randrange(1, 12))) for _ in range(60)] + ["x" * 3000, "y" * 500]
+    texts = [[rng.choice(words) for _ in range(n)] for n in (0, 8, 9, 10, 40, 5, 100)] + [None, words]
+    toks = pa.array(texts, pa.list_(pa.string()))
+    for stride, most in ((1, 50_000), (3, 4)):
+        for cut in (toks, toks.slice(2, 6)):
+            batch = pa.RecordBatch.from_arrays([pa.array(["s"] * len(cut)), pa.array(range(len(cut)), pa.int64()), cut], ["segment", "did", "toks"])
+            got = [tuple(r.values()) for out in hashed_shingles(stride, most)(iter([batch])) for r in out.to_pylist()]
+            want = []
+            for did, t in enumerate(cut.to_pylist()):
+                h = [model.fnv(w) for w in t or []]
+                want += [("s", model.combined(h[p : p + 9]), did, p) for p in list(range(0, len(h) - 8, stride))[:most]]
+            assert [(s, h % 2**64, did, p) for s, h, did, p in got] == want
