@@ -119,3 +119,14 @@ def test_starts_of_shingles_have_strides_and_ends(spark):
     for stride, most, want in ((1, 2**31 - 1, [0, 1, 2, 3, 4, 5]), (2, 2**31 - 1, [0, 2, 4]), (4, 9, [0, 4]), (3, 1, [0])):
         keys = T.shingle_keys(rows, F.col("t"), "i", stride=stride, most=most).collect()
         assert sorted((r.i, r.pos) for r in keys) == [*((0, p) for p in want), (4, 0)]
+
+
+def planned(spark, name):
+    from textweave.plans.queries import QUERIES
+
+    return QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_are_made_from_kept_matches(spark):
+    plan = planned(spark, "search_scores")
+    assert "InMemoryRelation" in plan and "regexp_replace" not in plan
