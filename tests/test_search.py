@@ -130,3 +130,8 @@ def planned(spark, name):
 def test_scores_are_made_from_kept_matches(spark):
     plan = planned(spark, "search_scores")
     assert "InMemoryRelation" in plan and "regexp_replace" not in plan
+
+
+def test_strided_postings_are_matched_once(spark):
+    plan = planned(spark, "stride_variant")
+    assert "InMemoryRelation" in plan and "regexp_replace" not in plan
