@@ -135,3 +135,8 @@ def test_scores_are_made_from_kept_matches(spark):
 def test_strided_postings_are_matched_once(spark):
     plan = planned(spark, "stride_variant")
     assert "InMemoryRelation" in plan and "regexp_replace" not in plan
+
+
+def test_overlapping_segments_are_matched_once(spark):
+    plan = planned(spark, "search_overlapping_segments")
+    assert "InMemoryRelation" in plan and "regexp_replace" not in plan
