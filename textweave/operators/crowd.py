@@ -95,6 +95,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _holders(h: np.ndarray, did: np.ndarray) -> np.ndarray:
+    """For each place, a number that tells the texts of its hash; the places of a hash stand together."""
+    starts = np.flatnonzero(_changes(h))
+    return np.repeat(np.add.reduceat(_mixed(did), starts), np.diff(np.append(starts, len(h)))).view(np.int64)
+
+
 def _dealt(buckets: int, later: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Token hashes of texts to shingles by hash, and lengths. Places of a hash beyond ``most`` + 1 go without it."""
 
@@ -145,12 +151,9 @@ def _shared(later: int, most: int) -> Step:
             gone = df > most
             rows += _sent(_part(did[gone], later), GONE, did[gone], pos[gone])
             some = (df > 1) & ~gone
-            h, did, pos, df, fresh = h[some], did[some], pos[some], df[some], fresh[some]
+            h, did, pos = h[some], did[some], pos[some]
         if len(h):
-            starts = np.flatnonzero(fresh)
-            size = np.diff(np.append(starts, len(h)))
-            texts = np.repeat(np.add.reduceat(_mixed(did), starts), size).view(np.int64)
-            rows += _sent(_part(texts, later), CLASS, texts, h, did, pos)
+            rows += _sent(_part(_holders(h, did), later), CLASS, h, did, pos)
         return pa.Table.from_arrays(_sheet(rows), schema=SENT)
 
     return run
@@ -161,8 +164,9 @@ def _units(later: int) -> Step:
 
     def run(table: pa.Table) -> pa.Table:
         rows = _passed(table, GONE, LENGTH)
-        texts, h, did, pos = _got(table, CLASS, 4)
+        h, did, pos = _got(table, CLASS, 3)
         if len(h):
+            texts = _holders(h, did)
             order = np.lexsort((pos, did, texts))
             texts, h, did, pos = texts[order], h[order], did[order], pos[order]
             number = np.unique(h, return_inverse=True)[1]
