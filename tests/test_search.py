@@ -140,3 +140,12 @@ def test_strided_postings_are_matched_once(spark):
 def test_overlapping_segments_are_matched_once(spark):
     plan = planned(spark, "search_overlapping_segments")
     assert "InMemoryRelation" in plan and "regexp_replace" not in plan
+
+
+def split_to_filter(plan):
+    """Lines of a plan that split texts only to drop short ones."""
+    return [line for line in plan.splitlines() if "Filter" in line and "regexp_extract_all" in line]
+
+
+def test_scores_split_no_text_to_drop_short_documents(spark):
+    assert not split_to_filter(planned(spark, "search_scores"))
