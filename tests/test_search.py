@@ -149,3 +149,20 @@ def split_to_filter(plan):
 
 def test_scores_split_no_text_to_drop_short_documents(spark):
     assert not split_to_filter(planned(spark, "search_scores"))
+
+
+def test_strided_search_splits_no_text_to_drop_short_documents(spark):
+    assert not split_to_filter(planned(spark, "stride_variant"))
+
+
+def test_named_documents_are_those_of_the_whole_index(spark):
+    """Repeated ids with a long and a short text, an id that is null, segments that share ids."""
+    long, short = " ".join(f"W{i}" for i in range(12)), "too short"
+    rows = [(1, "a", "a", long), (1, "a", "b", short), (1, "b", "a", long + " more"), (2, "a", "c", short), (3, "a", "d", long), (3, "a", "d", long), (None, "a", "e", long), (4, "b", "f", long)]
+    records = spark.createDataFrame(rows, "did long, segment string, doc_id string, text string").withColumns({"is_normalized": F.lit(False)} | {c: F.lit("") for c in STRINGS})
+    ids = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 1), ("a", None), ("c", 4)], "segment string, did long")
+    whole = I.documents(I.prepare(records), F.col("segment"), simhash=False).join(ids, ["segment", "did"], "left_semi")
+    named = I.named(records, F.col("segment"), ids)
+    assert named.columns == whole.columns
+    assert sorted(named.collect()) == sorted(whole.collect())
+    assert sorted((r.segment, r.did, r.tok_len) for r in named.collect()) == [("a", 1, 12), ("a", 3, 12), ("a", 3, 12), ("b", 1, 13)]
