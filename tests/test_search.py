@@ -166,3 +166,16 @@ def test_named_documents_are_those_of_the_whole_index(spark):
     assert named.columns == whole.columns
     assert sorted(named.collect()) == sorted(whole.collect())
     assert sorted((r.segment, r.did, r.tok_len) for r in named.collect()) == [("a", 1, 12), ("a", 3, 12), ("a", 3, 12), ("b", 1, 13)]
+
+
+def test_a_text_in_several_segments_is_split_once(spark):
+    from textweave.plans.queries import _held
+
+    ids = [*range(31), -1, -5, -30, None]
+    rows = spark.createDataFrame([(i, f"text {i}") for i in ids], "did long, text string")
+    end = " one two three four five six seven eight nine"
+    want = sorted((i, f"s{k}", f"text {i}" + (end if i % 5 == 0 and k == 1 else "")) for i in ids if i is not None for k in range(3) if (i % 3 if i >= 0 else -(-i % 3)) != k)
+    held = _held(rows)
+    assert sorted(tuple(r) for r in held.select("did", F.explode("segment"), "text").collect()) == want
+    assert held.count() == held.select("did", "text").distinct().count()
+    assert not split_to_filter(planned(spark, "search_overlapping_segments"))
