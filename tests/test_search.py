@@ -179,3 +179,16 @@ def test_a_text_in_several_segments_is_split_once(spark):
     assert sorted(tuple(r) for r in held.select("did", F.explode("segment"), "text").collect()) == want
     assert held.count() == held.select("did", "text").distinct().count()
     assert not split_to_filter(planned(spark, "search_overlapping_segments"))
+
+
+def test_scores_use_texts_to_their_end(spark, tmp_path):
+    """A passage behind 50,000 shingles, 100,000 tokens or 8 MiB counts, and so does a text's whole length."""
+    from textweave.plans.queries import QUERIES
+
+    passage = " ".join(f"p{i}" for i in range(20))
+    before = {1: " ".join(f"a{i}" for i in range(60_000)), 2: " ".join(f"b{i}" for i in range(110_000)), 3: "." * (9 << 20)}
+    spark.createDataFrame([(i, f"{t} {passage}") for i, t in before.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = sorted(tuple(r) for r in QUERIES["search_scores"](spark, str(tmp_path)).collect())
+    cd = [100 * 12 / n for n in (60_012, 110_012, 12)]
+    assert found == [(7, i, 12, round(60 + 0.4 * x, 6), 100.0, round(x, 6)) for i, x in enumerate(cd, 1)]
