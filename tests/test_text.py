@@ -78,3 +78,17 @@ def test_portable_hashes_of_batches_follow_the_model():
                 h = [model.fnv(w) for w in t or []]
                 want += [("s", model.combined(h[p : p + 9]), did, p) for p in list(range(0, len(h) - 8, stride))[:most]]
             assert [(s, h % 2**64, did, p) for s, h, did, p in got] == want
+
+
+def test_every_shingle_of_a_long_text_is_hashed(spark, tmp_path):
+    """Behind 50,000 shingles, 100,000 tokens and 8 MiB too."""
+    from textweave.plans.queries import QUERIES
+
+    words = {1: [f"a{i}" for i in range(60_000)], 2: [f"b{i % 997}" for i in range(110_000)], 3: [f"c{i}" for i in range(12)]}
+    rows = [(i, ("." * (9 << 20) if i == 3 else "") + " ".join(w)) for i, w in words.items()]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.pos): r.h for r in QUERIES["shingle_hash"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [(i, p) for i, w in words.items() for p in range(len(w) - 8)]
+    for i, w in words.items():
+        for p in {0, *range(max(0, len(w) - 30), len(w) - 8)}:
+            assert got[i, p] == f"{model.combined(map(model.fnv, w[p : p + 9])):016x}"
